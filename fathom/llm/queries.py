@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm import bpe, exactdedup, mixing, simhash
+from fathom.llm import bpe, exactdedup, mixing, simhash, substring
 from fathom.llm.runtime import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,34 @@ def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_simhash_groups"] = op6_simhash_groups
+
+
+def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substring.remove_repeats(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES["op7_repeated_passages"] = op7_repeated_passages
+ORACLE["op7_repeated_passages"] = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), n AS (
+    SELECT r, unnest(range(1, greatest(len(w) - 33, 1))) AS i FROM d
+), win AS (
+    SELECT n.r, n.i, sha256(array_to_string(d.w[n.i : n.i + 34], ' ')) AS h FROM n JOIN d ON n.r = d.r
+), rep AS (
+    SELECT r, i FROM win WHERE h IN (SELECT h FROM win GROUP BY h HAVING count(*) > 1)
+), gone AS (
+    SELECT r, list(DISTINCT p) AS ps FROM (SELECT r, unnest(range(i, i + 35)) AS p FROM rep) GROUP BY r
+), words AS (
+    SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d
+), g AS (
+    SELECT DISTINCT r, unnest(ps) AS p FROM gone
+), kept AS (
+    SELECT words.r, string_agg(word, ' ' ORDER BY words.p) AS t, count(*) AS k FROM words
+    LEFT JOIN g ON words.r = g.r AND words.p = g.p WHERE g.r IS NULL GROUP BY words.r
+)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, (len(d.w) - coalesce(kept.k, 0))::BIGINT AS n_removed,
+       sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.r = kept.r
+"""
