@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm import bpe, exactdedup, mixing, simhash, substring
+from fathom.llm import bpe, exactdedup, langid, mixing, simhash, substring
 from fathom.llm.runtime import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,12 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, (len(d.w) - coalesce(kept.k, 0))::
        sha256(coalesce(kept.t, '')) AS kept_sha256
 FROM d LEFT JOIN kept ON d.r = kept.r
 """
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    told = langid.identify(docs, langid.train(docs))
+    return told.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+QUERIES["op9_language_id"] = op9_language_id
