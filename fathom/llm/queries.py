@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm import bpe, covertree, exactdedup, langid, mixing, simhash, substring
+from fathom.llm import bpe, covertree, exactdedup, langid, merkle, mixing, simhash, substring, urlfilter
 from fathom.llm.runtime import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,3 +153,77 @@ SELECT e.vec_id, coalesce(n.n_links, 0)::BIGINT AS n_links, coalesce(c.component
        e.vec_id = coalesce(c.component_id, e.vec_id) AS kept
 FROM embeddings e LEFT JOIN n ON e.vec_id = n.a LEFT JOIN c ON e.vec_id = c.node
 """
+
+
+def _hashed(text, modulus: int):
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % modulus
+
+
+def op1_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits the pages against a replica with planted damage: some records altered, some lost, some added."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    h = _hashed(F.col("page_id").cast("string"), 97)
+    spoilt = F.when(h == 0, F.overlay(F.coalesce("html", F.lit("")), F.lit("�"), F.lit(3), F.lit(1))).otherwise(F.col("html"))
+    replica = pages.where(h != 1).select("page_id", "url", spoilt.alias("html"))
+    added = pages.where(h == 2).select((-F.col("page_id") - 1).alias("page_id"), "url", "html")
+    return merkle.audit(pages, replica.unionByName(added)).select("page_id", "status", "range_start", "range_end")
+
+
+QUERIES["op1_fixity_audit"] = op1_fixity_audit
+ORACLE["op1_fixity_audit"] = r"""
+WITH p AS (
+    SELECT page_id, ('0x' || substr(md5(page_id::VARCHAR), 1, 8))::BIGINT % 97 AS h FROM pages
+), d AS (
+    SELECT page_id, CASE h WHEN 0 THEN 'altered' ELSE 'missing' END AS status FROM p WHERE h IN (0, 1)
+    UNION ALL SELECT -page_id - 1, 'extra' FROM p WHERE h = 2
+)
+SELECT page_id, status, floor(page_id / 64.0)::BIGINT * 64 AS range_start, floor(page_id / 64.0)::BIGINT * 64 + 64 AS range_end FROM d
+"""
+
+#: The planted list: days after this one.
+LIST_START = "2024-01-01"
+
+
+def op8_dated_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judges all pages, fetched on days drawn from their ids, by a list whose dated entries are drawn from their hosts."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    day = lambda n: F.timestamp_seconds(F.unix_timestamp(F.lit(LIST_START), "yyyy-MM-dd") + n * 86400)
+    captures = pages.withColumn("fetched", day(_hashed(F.col("page_id").cast("string"), 366)))
+    hosts = pages.select(urlfilter.host(F.col("url")).alias("domain")).where("domain is not null").distinct()
+    entry = lambda action, salt, share: F.struct(
+        F.lit(action).alias("action"), day(_hashed(F.concat(F.col("domain"), F.lit(salt)), 366)).alias("listed"), (_hashed(F.concat(F.col("domain"), F.lit(salt + "?")), 10) < share).alias("used")
+    )
+    drawn = hosts.select("domain", F.explode(F.array(entry("add", "a", 4), entry("add", "b", 3), entry("remove", "c", 5), entry("remove", "d", 2))).alias("e"))
+    entries = drawn.where("e.used").select("domain", "e.action", "e.listed")
+    out = urlfilter.judge(captures, entries)
+    when = lambda c: F.date_format(c, "yyyy-MM-dd")
+    return out.select("page_id", when("fetched").alias("fetched_on"), "host", "blocked", "matched_domain", when("listed_since").alias("since"))
+
+
+QUERIES["op8_dated_url_filter"] = op8_dated_url_filter
+ORACLE["op8_dated_url_filter"] = r"""
+WITH c AS (
+    SELECT DISTINCT page_id, url, ('0x' || substr(md5(page_id::VARCHAR), 1, 8))::BIGINT % 366 AS fetched,
+           nullif(regexp_replace(regexp_extract(lower(trim(url)), '^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)', 1), '\.$', ''), '') AS host
+    FROM pages
+), h AS (
+    SELECT DISTINCT host AS domain FROM c WHERE host IS NOT NULL
+), e AS (
+    SELECT domain, s.a AS is_on, ('0x' || substr(md5(domain || s.salt), 1, 8))::BIGINT % 366 AS listed
+    FROM h, (VALUES (true, 'a', 4), (true, 'b', 3), (false, 'c', 5), (false, 'd', 2)) AS s(a, salt, share)
+    WHERE ('0x' || substr(md5(domain || s.salt || '?'), 1, 8))::BIGINT % 10 < s.share
+), asked AS (
+    SELECT page_id, url, fetched, host, array_to_string(string_split(host, '.')[i:], '.') AS domain
+    FROM (SELECT *, unnest(range(1, len(string_split(host, '.')) + 1)) AS i FROM c WHERE host IS NOT NULL)
+), state AS (  -- the last entry not after the fetch; of one day, a removal
+    SELECT a.*, (SELECT e.is_on FROM e WHERE e.domain = a.domain AND e.listed <= a.fetched ORDER BY e.listed DESC, e.is_on LIMIT 1) AS is_on FROM asked a
+), hit AS (
+    SELECT *, (  -- listed since the first addition after the last removal
+        SELECT min(e.listed) FROM e WHERE e.domain = state.domain AND e.listed <= state.fetched AND e.is_on
+        AND e.listed > coalesce((SELECT max(r.listed) FROM e r WHERE r.domain = state.domain AND r.listed <= state.fetched AND NOT r.is_on), -1)
+    ) AS since, row_number() OVER (PARTITION BY page_id, url ORDER BY length(domain) DESC) AS rn FROM state WHERE is_on
+)
+SELECT c.page_id, strftime(DATE '2024-01-01' + c.fetched::INT, '%Y-%m-%d') AS fetched_on, c.host, hit.domain IS NOT NULL AS blocked,
+       hit.domain AS matched_domain, strftime(DATE '2024-01-01' + hit.since::INT, '%Y-%m-%d') AS since
+FROM c LEFT JOIN hit ON c.page_id = hit.page_id AND c.url IS NOT DISTINCT FROM hit.url AND hit.rn = 1
+"""
