@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm import bpe, covertree, exactdedup, langid, merkle, mixing, simhash, substring, urlfilter
+from fathom.llm import bpe, covertree, exactdedup, langid, licences, merkle, mixing, simhash, substring, urlfilter
 from fathom.llm.runtime import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -227,3 +227,11 @@ SELECT c.page_id, strftime(DATE '2024-01-01' + c.fetched::INT, '%Y-%m-%d') AS fe
        hit.domain AS matched_domain, strftime(DATE '2024-01-01' + hit.since::INT, '%Y-%m-%d') AS since
 FROM c LEFT JOIN hit ON c.page_id = hit.page_id AND c.url IS NOT DISTINCT FROM hit.url AND hit.rn = 1
 """
+
+
+def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "paragraph", F.sha2("body", 256).alias("body_sha256"), "family", F.round("probability", 6).alias("probability"), F.round("similarity", 6).alias("similarity"), "confirmed")
+
+
+QUERIES["op2_licence_scan"] = op2_licence_scan
