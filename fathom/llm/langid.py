@@ -158,6 +158,24 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return net.fit(windows, np.array(labels)[owner])
 
 
+def _judge(net: ByteNet | None, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text, a few MB at a time."""
+    n = len(texts)
+    langs, scores, held, size, rows = [UNKNOWN] * n, np.zeros(n), [], 0, []
+    for i, text in enumerate(texts):
+        text = text.as_py()
+        if net is not None and text and _LETTER.search(text):
+            held.append(text.encode())
+            rows.append(i)
+            size += len(held[-1])
+        if held and (size >= _HELD or i + 1 == n):
+            which, p = net.predict(held)
+            for row, w, s in zip(rows, which.tolist(), p.tolist(), strict=True):
+                langs[row], scores[row] = net.languages[w], s
+            held, size, rows = [], 0, []
+    return langs, scores
+
+
 def identify(docs: DataFrame, net: ByteNet | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, lang_pred, score (0 to 1), from all bytes of the text and nothing else.
 
@@ -170,33 +188,26 @@ def identify(docs: DataFrame, net: ByteNet | None, id_col: str = "doc_id", text_
     model = spark.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = model.value
         for batch in batches:
-            n = batch.num_rows
-            langs, scores, held, size, rows = [UNKNOWN] * n, np.zeros(n), [], 0, []
-            for i, text in enumerate(batch.column(1)):
-                text = text.as_py()
-                if net is not None and _LETTER.search(text):
-                    held.append(text.encode())
-                    rows.append(i)
-                    size += len(held[-1])
-                if held and (size >= _HELD or i + 1 == n):
-                    which, p = net.predict(held)
-                    for k, (w, s) in enumerate(zip(which.tolist(), p.tolist(), strict=True)):
-                        langs[rows[k]], scores[rows[k]] = net.languages[w], s
-                    held, size, rows = [], 0, []
-            if held:
-                which, p = net.predict(held)
-                for k, (w, s) in enumerate(zip(which.tolist(), p.tolist(), strict=True)):
-                    langs[rows[k]], scores[rows[k]] = net.languages[w], s
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs), pa.array(scores)], names=["id", "lang_pred", "score"])
+            langs, scores = _judge(model.value, batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores)], names=["id", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
 def known_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The documents, with all their columns, of which a language could be told; rejects those predicted `und`."""
-    told = identify(docs, train(docs, id_col, text_col, lang_col), id_col, text_col)
-    kept = told.where(F.col("lang_pred") != UNKNOWN).select(id_col).distinct()
-    return docs.join(kept, id_col, "left_semi")
+    """The documents, with all their columns, of which a language could be told; rejects those predicted `und`.
+
+    Rows pass through the network and are filtered there, so nothing is shuffled.
+    """
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    model, at = spark.sparkContext.broadcast(train(docs, id_col, text_col, lang_col)), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, _ = _judge(model.value, batch.column(at))
+            yield batch.filter(pa.array([x != UNKNOWN for x in langs], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
