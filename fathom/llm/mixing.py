@@ -68,7 +68,7 @@ def _plan_sources(targets: DataFrame, block_words: int) -> DataFrame:
     s = s.withColumns({"whole": F.when(F.col("source_size") > 0, F.expr("take div source_size")).otherwise(F.lit(0)).cast("long")})
     s = s.withColumn("rest", F.col("take") - F.col("whole") * F.col("source_size"))
     s = s.withColumn("slots", (F.col("whole") * F.col("blocks") + F.ceil(F.col("rest") / F.col("block"))).cast("long"))
-    share = F.sum("target").over(ordered.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("target").over(Window.partitionBy())
+    share = F.try_divide(F.sum("target").over(ordered.rowsBetween(Window.unboundedPreceding, 0)), F.sum("target").over(Window.partitionBy()))
     s = s.withColumn("hi", F.coalesce(share, F.lit(0.0)))
     return s.withColumn("lo", F.coalesce(F.lag("hi").over(ordered), F.lit(0.0)))
 
@@ -109,7 +109,7 @@ def _streams(rows: DataFrame, sources: DataFrame) -> DataFrame:
     of a branch, then over a source's branches, so no source is sorted in one task.
     """
     about = sources.select("key", "n_rows", "source_size", "target", "block", "blocks")
-    d = rows.withColumns({"key": _key("source"), "m": F.md5(F.col("id").cast("string"))}).drop("source").join(about, "key")
+    d = rows.withColumns({"key": _key("source"), "m": F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")))}).drop("source").join(about, "key")
     leaves = F.greatest(F.lit(1), F.ceil(F.col("n_rows") / LEAF_ROWS)).cast("long")
     d = d.withColumn("leaf", F.shiftright(F.conv(F.substring("m", 1, 8), 16, 10).cast("long") * leaves, 32))
     prior = lambda w: F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
