@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,8 @@ from fathom.llm.runtime import bounded_batches, text_or_empty
 
 #: Distinct pieces whose ids a worker remembers before it starts anew.
 REMEMBERED = 400_000
+#: Pairs of tokens of which a worker remembers whether they may be neighbours.
+REMEMBERED_PAIRS = 1_000_000
 
 
 class Vocabulary:
@@ -33,7 +36,18 @@ class Vocabulary:
         self.longest = max(map(len, ranks))
         self.bytes_of = {v: k for k, v in ranks.items()}
         self._halves: dict[int, tuple[int, int] | None] = {}
-        self._beside: dict[tuple[int, int], bool] = {}
+        self._chains: dict[tuple[int, int], list[tuple[int, bytes]]] = {}
+        #: Whether two tokens may stand beside each other, by left << 32 | right, as far as was asked.
+        self.known: dict[int, bool] = {}
+        #: The tokens that merging makes, as a tree of bytes: each node maps the next byte to a node, and -1 to the token
+        #: that ends there. Other tokens can never end a prefix.
+        self.tree: dict[int, dict] = {}
+        for data, token in ranks.items():
+            if self.reachable(token):
+                node = self.tree
+                for byte in data:
+                    node = node.setdefault(byte, {})
+                node[-1] = token
 
     @classmethod
     def read(cls, path: str) -> Vocabulary:
@@ -62,41 +76,47 @@ class Vocabulary:
         return len(self.bytes_of[token]) == 1 or self.halves(token) is not None
 
     def beside(self, left: int, right: int) -> bool:
-        key = (left, right)
-        if key not in self._beside:
-            if len(self._beside) > 4_000_000:
-                self._beside.clear()
-            self._beside[key] = self._check(left, right)
-        return self._beside[key]
+        key = left << 32 | right
+        known = self.known.get(key)
+        if known is None:
+            if len(self.known) >= REMEMBERED_PAIRS:
+                self.known.clear()
+            known = self.known[key] = self._check(left, right)
+        return known
 
     def _check(self, left: int, right: int) -> bool:
-        # Walk back through the history of the border. A merge of rank r stands at the border from its own time on;
-        # `left_made` and `right_made` are the times at which the facing tokens arose (-1: a byte, there from the start).
-        first = self.bytes_of[left][-1:] + self.bytes_of[right][:1]
-        left_chain, right_chain = self._chain(left, 1), self._chain(right, 0)
+        # Walk back through the history of the border. A token is made at its rank's turn (a byte is there from the
+        # start); until_left and until_right are the turns at which the facing tokens were consumed by their own side.
+        ranks, lefts, rights = self.ranks, self._chain(left, 1), self._chain(right, 0)
         i = j = 0
-        until_left = until_right = 1 << 60  # the rank of the merge that consumed the facing token
+        until_left = until_right = 1 << 60
         while True:
-            joint = self.ranks.get(self.bytes_of[left_chain[i]] + self.bytes_of[right_chain[j]])
-            # The joint merge happens if its turn comes before both facing tokens are consumed by their own side. A tie
-            # of ranks on the left goes to the left merge (it stands further left), one on the right to the joint merge.
+            (l, left_bytes), (r, right_bytes) = lefts[i], rights[j]
+            joint = ranks.get(left_bytes + right_bytes)
+            # The joint merge happens if its turn comes before both facing tokens are consumed. A tie on the left goes to
+            # the left merge (it stands further left), one on the right to the joint merge.
             if joint is not None and joint < until_left and joint <= until_right:
                 return False
-            left_made = left_chain[i] if i + 1 < len(left_chain) else -1
-            right_made = right_chain[j] if j + 1 < len(right_chain) else -1
+            left_made = l if i + 1 < len(lefts) else -1
+            right_made = r if j + 1 < len(rights) else -1
             if left_made < 0 and right_made < 0:
-                return bool(first)
+                return True
             # Undo the later one; of equal ranks the right one came later.
             if right_made >= left_made:
                 until_right, j = right_made, j + 1
             else:
                 until_left, i = left_made, i + 1
 
-    def _chain(self, token: int, side: int) -> list[int]:
-        out = [token]
-        while len(self.bytes_of[out[-1]]) > 1:
-            out.append(self.halves(out[-1])[side])
-        return out
+    def _chain(self, token: int, side: int) -> list[tuple[int, bytes]]:
+        """The token, its half on that side, the half's half, down to a byte."""
+        chain = self._chains.get((token, side))
+        if chain is None:
+            chain = [(token, self.bytes_of[token])]
+            while len(chain[-1][1]) > 1:
+                half = self.halves(chain[-1][0])[side]
+                chain.append((half, self.bytes_of[half]))
+            self._chains[token, side] = chain
+        return chain
 
 
 class PrefixEncoder:
@@ -108,19 +128,26 @@ class PrefixEncoder:
 
     def append(self, more: bytes) -> None:
         """Add bytes at the end; the tokens of all former prefixes stay as they are."""
-        v, last, start = self.v, self.last, len(self.data)
+        v, last, old = self.v, self.last, len(self.data)
         self.data += more
-        data, get = bytes(self.data[max(0, start - v.longest) :]), v.ranks.get
-        shift = len(self.data) - len(data)
-        for end in range(start + 1, len(self.data) + 1):
-            for size in range(min(v.longest, end), 0, -1):
-                token = get(data[end - size - shift : end - shift])
-                if token is None or not v.reachable(token):
-                    continue
-                before = last[end - size]
-                if before < 0 or v.beside(before, token):
-                    last.append(token)
+        data, tree, known, beside = self.data, v.tree, v.known.get, v.beside
+        n = len(data)
+        last += [None] * (n - old)
+        for begin in range(max(0, old - v.longest), n):
+            before, node = last[begin], tree
+            for end in range(begin, n):
+                node = node.get(data[end])
+                if node is None:
                     break
+                # Of the tokens that may end a prefix only one fits behind the token before it, so the first found is it.
+                if last[end + 1] is None and (token := node.get(-1)) is not None:
+                    if before >= 0:
+                        fits = known(before << 32 | token)
+                        if fits is None:
+                            fits = beside(before, token)
+                        if not fits:
+                            continue
+                    last[end + 1] = token
 
     def edit(self, at: int, removed: int, added: bytes) -> None:
         """Replace data[at:at + removed]; only prefixes that end behind `at` are computed anew, up to where the old tokens meet again."""
@@ -167,11 +194,38 @@ class _Pieces(dict):
         return out
 
 
+#: Texts of these characters alone (ASCII and Latin-1 letters) are split by the standard library's faster engine.
+_PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*")
+_CLASSES = {r"\p{L}": "A-Za-zÀ-ÖØ-öø-ÿ", r"\p{N}": "0-9"}
+
+
+def plain_pattern(pattern: str) -> re.Pattern | None:
+    """The same pattern over plain texts, its letter and number classes spelt out; None if the standard library cannot read it."""
+    out, inside, i = "", False, 0
+    while i < len(pattern):
+        part = next((k for k in _CLASSES if pattern.startswith(k, i)), None)
+        if part:
+            out += _CLASSES[part] if inside else f"[{_CLASSES[part]}]"
+        else:
+            part = pattern[i : i + 2] if pattern[i] == "\\" else pattern[i]
+            inside = (inside or part == "[") and part != "]"
+            out += part
+        i += len(part)
+    if r"\p" in out or r"\P" in out:
+        return None
+    try:
+        return re.compile(out)
+    except re.error:
+        return None
+
+
 class Tokenizer:
     """Text to ids and back: each match of `pattern` is encoded by itself, without special tokens."""
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
-        self.v, self.split, self.pieces = vocabulary, regex.compile(pattern).findall, _Pieces(vocabulary)
+        self.v, self.split_any, self.pieces = vocabulary, regex.compile(pattern).findall, _Pieces(vocabulary)
+        plain = plain_pattern(pattern)
+        self.split_plain = plain.findall if plain else None
         top = max(vocabulary.bytes_of) + 1
         sizes = np.zeros(top, "i8")
         for k, b in vocabulary.bytes_of.items():
@@ -179,6 +233,9 @@ class Tokenizer:
         self.sizes, self.begins = sizes, np.concatenate([[0], np.cumsum(sizes)[:-1]])
         self.flat = np.frombuffer(b"".join(vocabulary.bytes_of.get(k, b"") for k in range(top)), "u1")
 
+    def split(self, text: str) -> list[str]:
+        return self.split_plain(text) if self.split_plain and _PLAIN.fullmatch(text) else self.split_any(text)
+
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(b"".join(map(self.pieces.__getitem__, self.split(text))), "<i4")
 
