@@ -232,6 +232,12 @@ def _summed(at: Column, weights: np.ndarray, start: float) -> Column:
     return F.aggregate(at, F.lit(start), lambda total, i: total + F.element_at(numbers, i))
 
 
+def _computed(df: DataFrame, **cols: Column) -> DataFrame:
+    """Adds columns that are computed once per row: unlike a projection, a generator of one row keeps filters above it from
+    being pushed down with its expressions copied into them."""
+    return df.select("*", F.explode(F.array(F.struct(*[c.alias(k) for k, c in cols.items()]))).alias("__c")).select(*df.columns, "__c.*")
+
+
 def _grams(w: Column, n: int) -> Column:
     return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
@@ -261,19 +267,17 @@ def scan(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", te
     model = model or train()
     found = paragraphs(docs, id_col, text_col)
     ascii_only = F.lower(F.regexp_replace("body", r"[^\x00-\x7F]", " "))
-    found = found.withColumn("w", F.filter(F.split(ascii_only, "[^a-z0-9]+"), lambda x: x != ""))
+    found = _computed(found, w=F.filter(F.split(ascii_only, "[^a-z0-9]+"), lambda x: x != ""))
     every = F.concat(*[_grams(F.col("w"), n) for n in range(1, GRAMS + 1)])
-    found = found.withColumn("at", F.transform(F.filter(F.array_distinct(every), lambda g: g.rlike(_GRAM_CUE)), lambda g: (F.pmod(F.xxhash64(g), F.lit(BUCKETS)) + 1).cast("int")))
-    for k in range(len(model.families)):
-        found = found.withColumn(f"z{k}", _summed(F.col("at"), model.weights[k], float(model.bias[k])) / model.temperature)
+    buckets = F.transform(F.filter(F.array_distinct(every), lambda g: g.rlike(_GRAM_CUE)), lambda g: (F.pmod(F.xxhash64(g), F.lit(BUCKETS)) + 1).cast("int"))
+    found = _computed(found, at=buckets, pairs=F.array_distinct(_grams(F.col("w"), 2)))
+    found = _computed(found, **{f"z{k}": _summed(F.col("at"), model.weights[k], float(model.bias[k])) / model.temperature for k in range(len(model.families))})
     z = [F.col(f"z{k}") for k in range(len(model.families))]
     found = found.withColumn("top", F.greatest(*z))
     found = found.withColumn("total", sum((F.exp(c - F.col("top")) for c in z[1:]), F.exp(z[0] - F.col("top"))))
     best = F.greatest(*z[:-1])
     family = F.coalesce(*[F.when(z[k] == best, F.lit(model.families[k])) for k in range(len(z) - 1)])
     found = found.where(z[-1] < best).withColumns({"best": family, "probability": F.exp(best - F.col("top")) / F.col("total")})
-    pairs = F.array_distinct(_grams(F.col("w"), 2))
-    found = found.withColumn("pairs", pairs)
     near = F.lit(0.0)
     for name, sentences in TEMPLATES.items():
         shares = []
