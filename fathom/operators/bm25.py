@@ -8,6 +8,7 @@ import unicodedata
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathom.functions.plan import computed_once
 from fathom.functions.text import tokens
 
 K1, B = 1.2, 0.75
@@ -38,7 +39,7 @@ def matches(df: DataFrame, query: str, id_col: str = "id", text_col: str = "cont
     terms = query_terms(query)
 
     def counted(frame: DataFrame, *cols: Column) -> DataFrame:
-        held = frame.select(*cols, tokens(F.col(text_col)).alias("__t"))
+        held = computed_once(frame.select(*cols, F.col(text_col).alias("__x")), __t=tokens(F.col("__x"))).drop("__x")
         return held.select(*[c for c in held.columns if c != "__t"], F.size("__t").alias("__dl"), *[F.size(F.filter("__t", _equals(t))).alias(f"__tf{i}") for i, t in enumerate(terms)])
 
     rows = counted(df, F.col(id_col).alias("id"))
