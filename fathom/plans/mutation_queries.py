@@ -16,7 +16,7 @@ def point_get(spark: SparkSession, d: str) -> DataFrame:
     return mutations.point_get(table(spark, d, "customer"), 42, "c_custkey").select("c_custkey", "c_name", "c_acctbal")
 
 
-@query("multi_get", "SELECT k.pos, k.id AS c_custkey, c.c_name FROM (VALUES (0, 7), (1, 3), (2, 999999999), (3, 7)) AS k(pos, id) LEFT JOIN customer c ON c.c_custkey = k.id")
+@query("multi_get", "SELECT k.pos, k.id AS c_custkey, c.c_name FROM (VALUES (0, 7::BIGINT), (1, 3::BIGINT), (2, 999999999::BIGINT), (3, 7::BIGINT)) AS k(pos, id) LEFT JOIN customer c ON c.c_custkey = k.id")
 def multi_get(spark: SparkSession, d: str) -> DataFrame:
     return mutations.multi_get(table(spark, d, "customer"), [7, 3, 999999999, 7], "c_custkey").select("pos", "c_custkey", "c_name")
 

@@ -33,7 +33,7 @@ f AS (SELECT doc_id, i, w[(i * 110 + 1):(i * 110 + 126)] AS p FROM c)"""
 def fixed_window_chunks(spark: SparkSession, d: str) -> DataFrame:
     size, overlap = chunking.PRESETS["A"]
     c = chunking.fixed_windows(table(spark, d, "documents"), size, overlap, "doc_id", "text")
-    return c.select("chunk_id", "source_doc_id", "chunk_idx", F.md5("content").alias("content_md5"), F.col("token_count").cast("long").alias("token_count"))
+    return c.select("chunk_id", "source_doc_id", F.col("chunk_idx").cast("long").alias("chunk_idx"), F.md5("content").alias("content_md5"), F.col("token_count").cast("long").alias("token_count"))
 
 
 @query("corpus_stats", _FIXED + ", z AS (SELECT doc_id, count(*) AS n, sum(len(p) + 2) AS t, min(len(p) + 2) AS lo, max(len(p) + 2) AS hi FROM f GROUP BY doc_id) SELECT count(*) AS documents, sum(n)::BIGINT AS chunks, round((sum(t) / sum(n))::DOUBLE, 6) AS avg_tokens, min(lo) AS min_tokens, max(hi) AS max_tokens, round(avg(n), 6) AS avg_chunks, min(n) AS min_chunks, max(n) AS max_chunks FROM z")
