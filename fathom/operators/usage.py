@@ -40,7 +40,7 @@ def admit(events: DataFrame, limit: int, period: str = "day", ts: str = "ts", to
 def report(events: DataFrame, period: str, now: datetime, limit: int, ts: str = "ts", tokens: str = "tokens") -> DataFrame:
     """One row: period, its bounds, tokens used, limit, remaining, exhausted and resets_at.
 
-    `total` has no bounds and reports the month's counters, as the service whose results this follows does.
+    `total` has no bounds and reports the month's counters: no others are kept.
     """
     now = now.astimezone(UTC) if now.tzinfo else now
     day = datetime(now.year, now.month, now.day)
