@@ -69,27 +69,23 @@ def _signed(x: int) -> int:
 
 
 def _forest(a: np.ndarray, b: np.ndarray, same: bool, radius: int) -> list[tuple[int, int]]:
-    """Links between fingerprints a and b (indices; b counts on behind a unless it is the same block) that join different trees."""
-    parent: dict[int, int] = {}
+    """Links between fingerprints a and b (indices; b counts on behind a unless it is the same block) that join different trees.
 
-    def root(x: int) -> int:
-        while (p := parent.get(x, x)) != x:
-            parent[x] = parent.get(p, p)
-            x = p
-        return x
-
-    out, shift = [], 0 if same else len(a)
+    Each fingerprint is held against all others at once, and trees are merged by whole arrays: the work in Python grows
+    with the number of links that come out, not with the number of near pairs.
+    """
+    shift = 0 if same else len(a)
+    label, out = np.arange(shift + len(b)), []
     for i in range(0, len(a), 512):
         near = np.bitwise_count(a[i : i + 512, None] ^ b[None, :]) <= radius
-        rows, cols = np.nonzero(near)
-        rows += i
-        if same:
-            rows, cols = rows[rows < cols], cols[rows < cols]
-        for x, y in zip(rows.tolist(), (cols + shift).tolist(), strict=True):
-            p, q = root(x), root(y)
-            if p != q:
-                parent[max(p, q)] = min(p, q)
-                out.append((x, y))
+        for x in (np.flatnonzero(near.sum(1) > same) + i).tolist():
+            y = np.flatnonzero(near[x - i]) + shift
+            other = label[y] != label[x]
+            if other.any():
+                trees, first = np.unique(label[y[other]], return_index=True)
+                out += [(x, z) for z in y[other][first].tolist()]
+                every = np.append(trees, label[x])
+                label[np.isin(label, every)] = every.min()
     return out
 
 
