@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -55,6 +56,19 @@ def exact_groups(
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns."""
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(id_col).distinct()
-    return docs.join(kept, id_col, "left_semi")
+    """One row of each group of equal texts, with all its columns: that with the smallest id, or any if none has an id.
+
+    Rows that share an id are judged by their own texts. Of rows that share both, the first in order of their columns
+    stays (columns that have no order do not count); they are merged in each map task before they are shuffled.
+    """
+    verdict = exact_groups(docs, id_col, text_col).where("kept")
+    kept = verdict.groupBy(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha")).agg(F.count(F.lit(1)).alias("__rows"))
+    kept = materialize(kept, "exact-kept")
+    found = docs.withColumn("__own", F.sha2(normalized(text_col), 256))
+    found = found.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha")))
+    single = found.where("__rows = 1").select(docs.columns)
+    if kept.where("__rows > 1").isEmpty():
+        return single
+    order = [text_col, *(c for c, kind in docs.dtypes if c != text_col and not re.search("map<|variant", kind))]
+    first = F.min_by(F.struct(*docs.columns), F.struct(*order)).alias("__row")
+    return single.unionByName(found.where("__rows > 1").groupBy("__id", "__sha").agg(first).select("__row.*"))

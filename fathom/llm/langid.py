@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.runtime import bounded_batches, text_or_empty
+from fathom.llm.runtime import bounded_batches, row_key, text_or_empty
 
 #: Bytes of a window, filter widths, filters of each width, and size of a byte's vector.
 WINDOW, WIDTHS, FILTERS, BYTE_DIMS = 256, (2, 3, 4), 12, 8
@@ -128,9 +128,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """A network trained on about `sample_docs` documents with a language that are not held out; None if there are none.
 
     Each language gives about as many documents, chosen by a hash of the id; of each, up to SAMPLE_CHARS characters from
-    a place chosen by another hash. Windows are trained whole and cut short, so short texts are known too.
+    a place chosen by another hash. Windows are trained whole and cut short, so short texts are known too. Rows without
+    an id are drawn by their texts, and equal rows count once, so no id gives more than its own texts.
     """
-    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    d = docs.select(F.col(id_col).alias("id"), row_key(docs, id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     d = d.where(F.col("lang").isNotNull() & ~held_out("id"))
     counts = d.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
     if not counts:
@@ -139,9 +140,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     share = F.lit(0.0)
     for r in counts:
         share = F.when(F.col("lang") == r["lang"], F.lit(sample_docs / len(counts) / r["n"])).otherwise(share)
-    chosen = d.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 20)) < share * (1 << 20))
-    place = F.pmod(F.xxhash64("id", F.lit("place")), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(1))).cast("int")
-    got = chosen.where("text is not null").select("lang", F.substring("text", place + 1, F.lit(SAMPLE_CHARS)).alias("text")).collect()
+    chosen = d.where(F.pmod(F.xxhash64("key", F.lit("sample")), F.lit(1 << 20)) < share * (1 << 20))
+    place = F.pmod(F.xxhash64("key", F.lit("place")), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(1))).cast("int")
+    parts = chosen.where("text is not null").select("key", "lang", F.substring("text", place + 1, F.lit(SAMPLE_CHARS)).alias("text"))
+    got = parts.distinct().select("lang", "text").collect()
     rng = np.random.default_rng(3)
     texts, labels = [], []
     for lang, text in sorted(map(tuple, got)):

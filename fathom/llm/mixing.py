@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathom.llm.runtime import materialize, text_or_empty
+from fathom.llm.runtime import materialize, row_key, text_or_empty
 
 #: Words in a block, about: a source is cut into blocks of one size near this.
 BLOCK_WORDS = 4096
@@ -157,11 +157,14 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     """The mixed corpus, with the columns of docs: each document as often as the mix takes it whole, and, for the one
     document of a source at which the target is reached, a copy of its first words (joined by single spaces).
 
-    Ids should be unique here; rows that share an id are taken by the largest of their counts.
+    Ids should be unique here; rows that share an id, or have none and the same text, are all taken by the largest of
+    their counts, at most MAX_EPOCHS times.
     """
-    took = mix(docs, id_col, text_col, source_col, block_words).where("taken > 0")
-    took = took.groupBy(id_col).agg(F.max(F.expr("taken div size")).alias("__whole"), F.max(F.expr("taken % size")).cast("int").alias("__rest"))
-    d = docs.join(took, id_col)
+    rows = docs.withColumn("__key", row_key(docs, id_col, text_col))
+    took = mix(rows, "__key", text_col, source_col, block_words).where("taken > 0")
+    most = F.max(F.struct(F.expr("taken div size").alias("whole"), F.expr("taken % size").alias("rest"))).alias("most")
+    took = took.groupBy("__key").agg(most).select("__key", F.col("most.whole").alias("__whole"), F.col("most.rest").cast("int").alias("__rest"))
+    d = rows.join(took, "__key")
     whole = d.withColumn("__copy", F.explode(F.expr("if(__whole > 0, sequence(1, __whole), array())")))
     words = F.filter(F.split(F.col(text_col), r"[\x20\x09-\x0D]+"), lambda x: x != "")
     part = d.where("__rest > 0").withColumn(text_col, F.array_join(F.slice(words, 1, F.col("__rest")), " "))

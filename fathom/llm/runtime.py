@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Documents in one Arrow batch; a batch of average documents stays at a few MB.
@@ -50,5 +50,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row_key(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """The id; for a row without one a number above 2^62 drawn from its text, so that the row can be referred to as well."""
+    drawn = F.shiftrightunsigned(F.xxhash64(F.col(text_col)), 2).bitwiseOR(F.lit(1 << 62))
+    return F.coalesce(F.col(id_col), drawn.cast(docs.schema[id_col].dataType))
+
+
 def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col).cast("string"), F.lit(""))

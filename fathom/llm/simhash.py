@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathom.llm.components import connected_components
-from fathom.llm.runtime import bounded_batches, materialize, text_or_empty
+from fathom.llm.runtime import bounded_batches, materialize, row_key, text_or_empty
 
 SHINGLE_WORDS = 3
 RADIUS = 3
@@ -165,6 +165,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group stays (the smallest id), with all its columns."""
-    kept = near_groups(docs, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    return docs.join(kept, id_col, "left_semi")
+    """One document of each group stays (the smallest id), with all its columns.
+
+    Rows without an id are linked like any other and come after all that have one; of equal texts without an id all
+    stay or none. So do rows that share an id: they count as one document.
+    """
+    rows = docs.withColumn("__key", row_key(docs, id_col, text_col))
+    kept = near_groups(rows, "__key", text_col).where(F.col("__key") == F.col("component_id")).select("__key").distinct()
+    return rows.join(kept, "__key", "left_semi").select(docs.columns)

@@ -36,6 +36,29 @@ def test_exact_on_nothing(empty, odd):
     assert exactdedup.exact_groups(empty).count() == 0 and exactdedup.drop_exact_copies(empty).columns == odd.columns
 
 
+def test_exact_copies_go(spark, odd, odd_rows):
+    """One row of each text stays, also where ids are null, shared by different texts or given twice."""
+    rows = [*odd_rows, (None, "no id twice", "en", "a"), (None, "no id  twice", "de", "a"), (None, odd_rows[2][1], "en", "a"), (9, odd_rows[1][1], "en", "a"), (9, "second text of nine", "en", "a")]
+    best = {}
+    for i, t, *_ in rows:
+        n = SPACE.sub(" ", t or "")
+        best[n] = min(best.get(n, 1 << 62), 1 << 62 if i is None else i)
+    want = Counter((None if i == 1 << 62 else i, t) for t, i in best.items())
+    out = exactdedup.drop_exact_copies(make(spark, rows))
+    assert out.columns == odd.columns
+    assert Counter((r.doc_id, SPACE.sub(" ", r.text or "")) for r in out.collect()) == want
+    assert sorted(r.text for r in exactdedup.drop_exact_copies(make(spark, rows)).where("doc_id is null").collect()) == ["a row without id", "no id  twice"]
+
+
+def test_near_copies_go(spark, odd, words):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(words) for _ in range(300)) for _ in range(4)]
+    rows = [(3, texts[0], "en", "a"), (None, texts[0] + " ", "en", "a"), (None, texts[1], "en", "a"), (None, texts[2], "en", "a"), (8, texts[2] + "\n", "en", "a"), (2, texts[3], "en", "a"), (1, texts[3].upper(), "en", "a"), (None, None, "en", "a")]
+    out = simhash.drop_near_copies(make(spark, rows))
+    assert out.columns == odd.columns
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter([(3, texts[0]), (None, texts[1]), (8, texts[2] + "\n"), (1, texts[3].upper()), (None, None)])
+
+
 def brute_fingerprint(text, k=3):
     w = words_of("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in (text or "")))
     if not w:

@@ -1,7 +1,7 @@
 import hashlib
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -160,6 +160,19 @@ def test_mixture_copies(odd, odd_rows):
     assert dict(words_out) == want
 
 
+def test_mixture_of_rows_without_id(spark, words):
+    rng = random.Random(6)
+    rows = [(None if i % 3 else i, " ".join(rng.choice(words) for _ in range(rng.randint(5, 60))), "en", f"s{i % 4}") for i in range(60)]
+    got = Counter()
+    for r in mixing.mixture(make(spark, rows), block_words=16).collect():
+        got[r.source] += len(r.text.split())
+    _, target = brute_targets(rows)
+    assert all(abs(got[s] - target[s]) < 1 for s in target)
+    shared = [(1, "a b c d", "en", "x"), (1, "e f", "en", "x"), (1, "g", "en", "y"), (2, "h i j k l m n o p q", "en", "z")]
+    times = Counter(r.text for r in mixing.mixture(make(spark, shared), block_words=2).collect())
+    assert max(times.values()) <= mixing.MAX_EPOCHS
+
+
 def test_mix_of_nothing(empty, spark):
     assert mixing.mix(empty).count() == 0 and mixing.mixture(empty).count() == 0
     blank = make(spark, [(1, None, None, None), (2, " ", "en", "a")])
