@@ -8,13 +8,13 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fathom.functions.vectors import l2_normalize
+from fathom.functions.vectors import bound, l2_normalize
 
 
 def stub_vector(text: Column, dim: int) -> Column:
     """seed = SHA-256(text); block i = SHA-256(seed and i in two bytes) holds eight little-endian 32-bit numbers, scaled to [-1, 1]; unit length."""
-    seed = F.unhex(F.sha2(text, 256))
-    blocks = F.transform(F.sequence(F.lit(0), F.lit((dim + 7) // 8 - 1)), lambda i: F.sha2(F.concat(seed, F.unhex(F.lpad(F.hex(i.cast("bigint")), 4, "0"))), 256))
+    block = lambda seed, i: F.sha2(F.concat(seed, F.unhex(F.lpad(F.hex(i.cast("bigint")), 4, "0"))), 256)
+    blocks = bound(F.unhex(F.sha2(text, 256)), lambda seed: F.transform(F.sequence(F.lit(0), F.lit((dim + 7) // 8 - 1)), lambda i: block(seed, i)))
     place = F.sequence(F.lit(0), F.lit(7))
 
     def number(block: Column, k: Column) -> Column:

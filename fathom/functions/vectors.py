@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -18,6 +18,11 @@ def constant(v: Sequence[float]) -> Column:
     return F.array(*[F.lit(float(x)) for x in v])
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once per row, however often the body names it, also inside lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def dot(a: Column, b: Column | Sequence[float]) -> Column:
     if not isinstance(b, Column):
         if len(b) <= UNROLLED:
@@ -54,8 +59,8 @@ def l2_distance(a: Column, b: Column | Sequence[float]) -> Column:
 
 def l2_normalize(a: Column) -> Column:
     """The vector divided by its length; a zero vector stays as it is."""
-    n = norm(a)
-    return F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
+    unit = lambda v, n: F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
+    return bound(a, lambda v: bound(norm(v), lambda n: unit(v, n)))
 
 
 def mean_pool(tokens: Column, mask: Column) -> Column:

@@ -268,3 +268,12 @@ def test_plans_keep_the_shape_that_scales(spark):
     df = spark.createDataFrame([(i, [rng.random() for _ in range(8)], i % 3) for i in range(50)], "id long, vector array<float>, label int")
     plan = knn.knn(filters.apply(df, Filter(must=(Range("label", gte=1),))), [1.0] * 8, 5)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan and "Exchange" not in plan and "Python" not in plan
+
+
+def test_unit_length_is_computed_once_per_row(spark):
+    rows = spark.createDataFrame([(0, [3.0, 4.0]), (1, [0.0, 0.0]), (2, []), (3, None), (4, [None, 2.0])], "i int, v array<float>")
+    got = {r.i: r.u for r in rows.select("i", vectors.l2_normalize(F.col("v")).alias("u")).collect()}
+    assert got[0] == pytest.approx([0.6, 0.8]) and got[1] == [0.0, 0.0] and got[2] == [] and got[3] is None
+    five = F.sequence(F.lit(1), F.lit(5))
+    drawn = rows.select(vectors.bound(F.rand(), lambda x: F.array_distinct(F.transform(five, lambda _: x))).alias("d"))
+    assert all(len(r.d) == 1 for r in drawn.collect())
