@@ -73,9 +73,13 @@ def keyword_ranked(found: DataFrame, k: int) -> DataFrame:
     return ranked.select("id", "bm25", "rank", F.when(share > 0, share).otherwise(1 / (F.col("rank") + 1.0)).alias("score"), "total")
 
 
+def _tokenized(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return computed_once(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("__x")), t=tokens(F.col("__x"))).drop("__x")
+
+
 def postings(df: DataFrame, id_col: str = "id", text_col: str = "content") -> tuple[DataFrame, DataFrame]:
     """Rows (term, id, tf, dl) and rows (term, df), for many queries; both can be written and bucketed by term."""
-    held = df.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t"))
+    held = _tokenized(df, id_col, text_col)
     tf = held.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
     return tf, tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
@@ -87,11 +91,12 @@ def batch(queries: DataFrame, df: DataFrame, k: int, query_id: str = "query_id",
     """
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term"))
     wanted = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("terms"))
-    held = df.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t"))
+    held = _tokenized(df, id_col, text_col)
     stats = held.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("avgdl"))
     words = held.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
     tf = words.groupBy("id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    df_ = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # Every row counts; naming tf keeps its column here too, so that both uses of tf share one shuffle.
+    df_ = tf.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
     hits = tf.join(asked, "term").join(df_, "term").join(F.broadcast(stats), F.lit(True))
     scored = hits.groupBy("query_id", "id").agg(F.sum(_idf(F.col("n"), F.col("df")) * _weight(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)).alias("score"), F.count(F.lit(1)).alias("hit"))
     if operator == "and":
