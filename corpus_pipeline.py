@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm import bpe, exactdedup, langid, mixing, simhash
+from fathom.llm import bpe, exactdedup, jaccard, langid, mixing
 from fathom.llm.runtime import materialize
 
 
@@ -20,7 +20,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.drop_near_copies(docs)
+    """Near copies share at least 0.8 of their 5-word shingles, or are within op6's radius."""
+    return jaccard.drop_near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
