@@ -20,8 +20,8 @@ def squeeze(text: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """Parts that end in . ! or ? (with closing quotes or brackets) before white space, or at a blank line; squeezed, none empty."""
-    marked = F.regexp_replace(text, r"""([.!?]["'\)\]}]*)(\s)""", "$1\u0001$2")
+    """Parts that end in . ! or ? (with closing quotes or brackets) before any Unicode white space, or at a blank line; squeezed, none empty."""
+    marked = F.regexp_replace(text, r"""(?U)([.!?]["'\)\]}]*)(\s)""", "$1\u0001$2")
     return F.filter(F.transform(F.split(marked, "\u0001|\n\n"), squeeze), lambda x: x != "")
 
 

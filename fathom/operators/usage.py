@@ -31,8 +31,13 @@ def admit(events: DataFrame, limit: int, period: str = "day", ts: str = "ts", to
     means none. With `reject`, refused requests use nothing: since all after the first refusal are refused until the
     period ends, the sum up to the first one decides for all.
     """
-    w = Window.partitionBy(F.date_trunc(period, F.col(ts))).orderBy(ts, order).rowsBetween(Window.unboundedPreceding, -1)
-    out = events.withColumn("used_before", F.coalesce(F.sum(tokens).over(w), F.lit(0.0)))
+    # Running sums within a second, and over the seconds of a period, of which there is a fixed number: no task sorts a day.
+    at = events.withColumns({"__p": F.date_trunc(period, F.col(ts)), "__s": F.date_trunc("second", F.col(ts))})
+    before = lambda w: F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    seconds = at.groupBy("__p", "__s").agg(F.sum(tokens).alias("__n")).withColumn("__before", before(Window.partitionBy("__p").orderBy("__s")))
+    at = at.withColumn("__n", F.col(tokens)).withColumn("__within", before(Window.partitionBy("__p", "__s").orderBy(ts, order)))
+    out = at.join(seconds.drop("__n"), ["__p", "__s"]).withColumn("used_before", (F.col("__before") + F.col("__within")).cast("double"))
+    out = out.select(*events.columns, "used_before")
     over = exhausted(limit, F.col("used_before"))
     return out.withColumn("allowed", F.lit(True) if action == "warn" else ~over).withColumn("over_budget", over)
 
