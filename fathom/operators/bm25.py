@@ -1,11 +1,13 @@
-"""Keyword ranking by BM25 with Lucene's idf, over lower-cased letter and digit runs."""
+"""Keyword ranking by BM25 with Lucene's idf, over lower-cased letter and digit runs: in place, or from a stored index."""
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathom.functions.plan import computed_once
@@ -103,3 +105,86 @@ def batch(queries: DataFrame, df: DataFrame, k: int, query_id: str = "query_id",
         scored = scored.join(wanted, "query_id").where("hit = terms")
     w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "id", "score", "rank")
+
+
+#: Buckets of terms in a stored index: a query reads the buckets of its terms, and in them the row groups that may hold these.
+TERM_BUCKETS = 64
+
+
+def _term_bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+@dataclass(frozen=True)
+class KeywordIndex:
+    """Stored postings of a table: rows (term, id, tf, dl) by bucket of the term and sorted by it, and the table's numbers."""
+
+    postings: DataFrame
+    n: int
+    avgdl: float
+    buckets: int
+
+    @classmethod
+    def write(cls, df: DataFrame, path: str, id_col: str = "id", text_col: str = "content", buckets: int = TERM_BUCKETS) -> KeywordIndex:
+        """Tokenises every row once. Postings of a frequent term are split over tasks, so its bucket has several files."""
+        spark = df.sparkSession
+        tf, _ = postings(df, id_col, text_col)
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        rows = tf.withColumn("bucket", _term_bucket(F.col("term"), buckets))
+        rows = rows.repartitionByRange(parts, "bucket", "term", "id").sortWithinPartitions("bucket", "term", "id")
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        lengths = _tokenized(df, id_col, text_col).agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("avgdl"))
+        lengths.select("n", F.coalesce("avgdl", F.lit(0.0)).alias("avgdl"), F.lit(buckets).alias("buckets"), F.lit(json.dumps(dict(tf.dtypes))).alias("kinds")).write.mode("overwrite").parquet(f"{path}/numbers")
+        return cls.read(spark, path)
+
+    @classmethod
+    def read(cls, spark: SparkSession, path: str) -> KeywordIndex:
+        about = spark.read.parquet(f"{path}/numbers").first()
+        kinds = json.loads(about["kinds"])
+        schema = ", ".join(f"{c} {kinds[c]}" for c in ("id", "term", "dl", "tf")) + ", bucket int"
+        return cls(spark.read.schema(schema).parquet(f"{path}/postings"), about["n"], about["avgdl"], about["buckets"])
+
+    def of_terms(self, terms: list[str]) -> DataFrame:
+        """Postings of a query's terms: other buckets are not read, and of theirs only what may hold the terms."""
+        spark = self.postings.sparkSession
+        own = spark.createDataFrame([(t,) for t in terms], "term string").select(_term_bucket(F.col("term"), self.buckets).alias("b")).distinct()
+        return self.postings.where(F.col("bucket").isin(sorted(r["b"] for r in own.collect())) & F.col("term").isin(terms))
+
+    def matches(self, query: str, operator: str = "and", pool: DataFrame | None = None, k1: float = K1, b: float = B) -> DataFrame:
+        """As matches() of this module over the indexed table, cut to the ids of `pool` if there is one."""
+        if operator not in ("and", "or"):
+            raise ValueError("operator is and or or")
+        terms = query_terms(query)
+        if not terms:
+            return self.postings.select("id", F.lit(0.0).alias("score")).where("false")
+        hits = self.of_terms(terms)
+        held = [F.max(F.when(F.col("term") == t, F.col("tf"))).alias(f"tf{i}") for i, t in enumerate(terms)]
+        counts = hits.agg(*[F.count_if(F.col("term") == t).alias(f"df{i}") for i, t in enumerate(terms)])
+        rows = hits.groupBy("id", "dl").agg(*held)
+        if operator == "and":
+            for i in range(len(terms)):
+                rows = rows.where(F.col(f"tf{i}").isNotNull())
+        if pool is not None:
+            rows = rows.join(pool.select("id"), "id", "left_semi")
+        rows = rows.join(F.broadcast(counts), F.lit(True))  # a single row
+        score = F.lit(0.0)
+        for i in range(len(terms)):
+            part = _idf(F.lit(self.n), F.col(f"df{i}")) * _weight(F.col(f"tf{i}"), F.col("dl"), F.lit(float(self.avgdl)), k1, b)
+            score = score + F.coalesce(part, F.lit(0.0))
+        return rows.select("id", score.alias("score"))
+
+    def batch(self, queries: DataFrame, k: int, query_id: str = "query_id", query_text: str = "text", operator: str = "and", k1: float = K1, b: float = B) -> DataFrame:
+        """As batch() of this module over the indexed table: no text is read, and postings meet the queries' terms by a join."""
+        asked = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term"))
+        wanted = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("terms"))
+        terms = asked.select("term", _term_bucket(F.col("term"), self.buckets).alias("bucket")).distinct()
+        tf = self.postings.join(terms, ["bucket", "term"], "left_semi").select("id", "term", "tf", "dl")
+        # Every posting counts; naming tf keeps its column here too, so that both uses of the join share one shuffle.
+        counts = tf.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
+        hits = tf.join(asked, "term").join(counts, "term")
+        weight = _idf(F.lit(self.n), F.col("df")) * _weight(F.col("tf"), F.col("dl"), F.lit(float(self.avgdl)), k1, b)
+        scored = hits.groupBy("query_id", "id").agg(F.sum(weight).alias("score"), F.count(F.lit(1)).alias("hit"))
+        if operator == "and":
+            scored = scored.join(wanted, "query_id").where("hit = terms")
+        w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "id")
+        return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "id", "score", "rank")

@@ -40,6 +40,8 @@ class Searcher:
     windows: CandidateWindows = CandidateWindows()
     keyword_operator: str = "and"
     supports_text: bool = True
+    #: Opens the collection's stored postings, if it keeps any; keyword searches then read only their terms.
+    keyword_index: Callable[[], bm25.KeywordIndex | None] | None = None
 
     def search(self, request: SearchRequest) -> Results:
         filters.check_against(request.filters, self.collection)
@@ -85,7 +87,11 @@ class Searcher:
     def _keyword(self, pool: DataFrame, query: str, window: int) -> DataFrame:
         if not self.supports_text:
             raise KeywordSearchUnsupported("the collection has no text search")
-        found = bm25.matches(pool, query, operator=self.keyword_operator, stats_of=self.docs)
+        index = self.keyword_index() if self.keyword_index else None
+        if index is not None:
+            found = index.matches(query, self.keyword_operator, None if pool is self.docs else pool)
+        else:
+            found = bm25.matches(pool, query, operator=self.keyword_operator, stats_of=self.docs)
         return bm25.keyword_ranked(found, window).select("id", "score", (F.col("rank") + 1).alias("rank"))
 
     def _answer(self, top: DataFrame, min_score: float, limit: int, vectors: bool) -> Results:
