@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -38,6 +38,34 @@ def sentence_windows(counts: list[int], window: int = WINDOW_TOKENS, overlap: fl
     return out
 
 
+#: A chunker adds chunks (array<struct<content, tokens>>) and error (null, or why the document could not be cut) to documents.
+Chunker = Callable[[DataFrame], DataFrame]
+
+
+def sentence_chunker(window: int = WINDOW_TOKENS, overlap: float = OVERLAP) -> Chunker:
+    return lambda df: window_chunks(df, window=window, overlap=overlap)
+
+
+def chunker_of(cut: Callable[[str], list[tuple[str, int]]]) -> Chunker:
+    """A chunker from a function that cuts one text into (content, tokens) pairs; what it raises becomes that document's error."""
+
+    @F.pandas_udf("struct<chunks: array<struct<content: string, tokens: int>>, error: string>")
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for series in texts:
+            rows = []
+            for t in series:
+                try:
+                    rows.append(([{"content": c, "tokens": n} for c, n in cut(t or "")], None))
+                except Exception as x:  # a document's own failure is its status, not the batch's
+                    rows.append(([], str(x) or type(x).__name__))
+            yield pd.DataFrame(rows, columns=["chunks", "error"])
+
+    def chunk(df: DataFrame) -> DataFrame:
+        return df.withColumn("__r", run("content")).withColumns({"chunks": F.col("__r.chunks"), "error": F.col("__r.error")}).drop("__r")
+
+    return chunk
+
+
 _WINDOWS = "array<struct<first: int, past: int, tokens: int>>"
 
 

@@ -121,6 +121,16 @@ def point_get(df: DataFrame, id_, id_col: str = "id") -> DataFrame:
     return df.where(F.col(id_col) == F.lit(id_)).limit(1)
 
 
+def prefix_scan(df: DataFrame, prefix: str, id_col: str = "id") -> DataFrame:
+    """Rows whose id starts with a prefix, in order of id; the predicate reaches the Parquet scan."""
+    return (df.where(F.col(id_col).startswith(prefix)) if prefix else df).orderBy(id_col)
+
+
+def query_list(df: DataFrame, condition: Column | None = None, offset: int = 0, limit: int = 20, id_col: str = "id") -> DataFrame:
+    """A page, by offset, of the rows that meet a condition, in order of id."""
+    return page_offset(df if condition is None else df.where(condition), offset, limit, id_col)
+
+
 def multi_get(df: DataFrame, ids: list, id_col: str = "id") -> DataFrame:
     """Rows in the order of the asked ids, with pos; missing ids give a row of nulls, repeated ones repeat."""
     kind = dict(df.dtypes)[id_col]

@@ -1,13 +1,14 @@
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 
-from fathom.model import Collection, CollectionExists, CollectionNotFound, Config, DocumentNotFound, Field, InvalidSchema, Mode, QuotaExceeded, RevisionConflict, SearchRequest, ValidationFailed, VectorDimMismatch
-from fathom.operators import embedding
+from fathom.model import Collection, CollectionExists, CollectionNotFound, Config, DocumentNotFound, EmbeddingFailed, Field, InvalidSchema, Mode, QuotaExceeded, RevisionConflict, SearchRequest, ValidationFailed, VectorDimMismatch
+from fathom.operators import chunking, embedding
 from fathom.operators.filters import Filter, Match, Range
 from fathom.service import Engine
 from fathom.sources import datasets
+from fathom.sources.keyvalue import KeyValues
 from fathom.sources.store import Store
 from fathom.streaming import usage as streaming
 from fathom.typed import Schema, TypedIndex, role
@@ -109,6 +110,165 @@ def test_budget_and_health(engine, spark):
     assert Engine(engine.store, broken).health()["status"] == "degraded"
 
 
+def test_model_is_called_once_per_new_text(spark, tmp_path):
+    """Results are read several times, texts repeat, and later batches know what earlier ones paid for."""
+    log = str(tmp_path / "calls")
+
+    def client():
+        def call(texts):
+            with open(log, "a") as f:
+                f.write("".join(f"{t}\n" for t in texts))
+            return [([float(len(t)), 1.0, 0.0], 10) for t in texts]
+
+        return call
+
+    e = Engine(Store(spark, str(tmp_path / "store")), embedding.from_batches("m", client, 3), Config(document_instruction="doc: "), clock=lambda: datetime(2024, 5, 6, 7))
+    e.create_collection(Collection("c", (), 3))
+    rows = [(f"d{i}", f"text {i % 7}", None, None) for i in range(20)]
+    assert {r.status for r in e.batch_upsert("c", spark.createDataFrame(rows, DOCS)).collect()} == {"ok"}
+    status = e.batch_upsert("c", spark.createDataFrame([("x", "text 3", None, None), ("y", "text 9", None, None)], DOCS))
+    assert status.count() == 2 and status.count() == 2
+    e.upsert("c", "z", "text 9")
+    with open(log) as f:
+        assert sorted(f.read().split("\n")) == sorted(["", *[f"doc: text {i}" for i in range(7)], "doc: text 9"])
+    used = e.usage("day")
+    assert used["tokens"] == 80 and used["start"] == datetime(2024, 5, 6) and e.usage("month")["tokens"] == 80
+    assert e.get("c", "x")["vector"] == e.get("c", "d3")["vector"] == [11.0, 1.0, 0.0]
+
+
+def test_budgets_stop_sub_batches(spark, tmp_path, monkeypatch):
+    e = Engine(Store(spark, str(tmp_path / "store")), embedding.stub(4), Config(daily_token_limit=100, budget_action="reject"), clock=lambda: datetime(2024, 1, 1))
+    e.create_collection(Collection("c", (), 4))
+    monkeypatch.setattr(embedding, "SUB_BATCH", 5)
+    monkeypatch.setattr(embedding.admitted, "__defaults__", (5,))
+    rows = [(f"d{i}", f"a text of forty characters, or so, no {i:03}", None, None) for i in range(60)]
+    status = e.batch_upsert("c", spark.createDataFrame(rows, DOCS)).collect()
+    stored = e.count("c")
+    refused = [r for r in status if r.error_code == "embedding_quota_exceeded"]
+    assert 0 < stored < 30 and stored + len(refused) == 60 and e.usage("day")["tokens"] == stored * 10
+    if e.usage("day")["exhausted"]:
+        with pytest.raises(QuotaExceeded):
+            e.upsert("c", "new", "one more text")
+
+
+def test_wrong_dimensions_are_errors_of_their_rows(spark, tmp_path):
+    def client():
+        return lambda texts: [([0.5] * (2 if "short" in t else 3), 1) for t in texts]
+
+    e = Engine(Store(spark, str(tmp_path / "store")), embedding.from_batches("m", client, 3))
+    e.create_collection(Collection("c", (), 3))
+    status = {r.id: r.error_code for r in e.batch_upsert("c", spark.createDataFrame([("a", "fine", None, None), ("b", "short", None, None)], DOCS)).collect()}
+    assert status == {"a": None, "b": "vector_dim_mismatch"} and e.count("c") == 1
+
+
+def test_expected_revisions(engine):
+    engine.upsert("c", "1", "one", if_revision=0)
+    revision = engine.get("c", "1")["revision"]
+    engine.upsert("c", "1", "two", if_revision=revision)
+    with pytest.raises(RevisionConflict) as x:
+        engine.upsert("c", "1", "three", if_revision=revision)
+    assert x.value.current == revision + 1 and engine.get("c", "1")["content"] == "two"
+
+
+def test_stored_postings_answer_as_texts_do(engine, spark):
+    rows = [(f"d{i}", f"apples {'and pears ' * (i % 4)} number {i}", {"category": "even" if i % 2 == 0 else "odd"}, {"price": float(i)}) for i in range(30)]
+    engine.batch_upsert("c", spark.createDataFrame(rows, DOCS))
+    requests = [SearchRequest("apples pears", Mode.KEYWORD), SearchRequest("pears number", Mode.KEYWORD, Filter(must=(Match("category", "even"), Range("price", gt=4)))), SearchRequest("nowhere", Mode.KEYWORD), SearchRequest("pears", Mode.HYBRID)]
+    ask = lambda: [[(r.id, round(r.score, 9)) for r in engine.search("c", q).hits.collect()] for q in requests]
+    before = ask()
+    engine.index("c")
+    index = engine.store.keyword_index("c")
+    assert ask() == before and len(before[0]) > 5 and index.n == 30
+    plan = index.of_terms(["pears"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "PushedFilters" in plan and "content" not in plan
+    engine.upsert("c", "more", "pears")
+    assert engine.store.keyword_index("c") is None and len(engine.search("c", requests[3]).hits.collect()) >= len(before[3])
+
+
+def test_buckets_grow_and_old_versions_go(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"), buckets=2, bucket_bytes=6000)
+    store.create(Collection("c", (), 8))
+    for turn in range(3):
+        store.upsert("c", spark.createDataFrame([(f"d{turn}-{i}", f"text {i} " * 20, None, None) for i in range(200)], DOCS))
+    _, buckets, files = store._manifest("c")
+    assert buckets > 2 and store.count("c") == 600 and len(files) > 2
+    assert store.get_document("c", "d1-7").count() == 1 and store.scan("c", "d2-19").count() == 11
+    assert store.vacuum("c", keep=1) > 0 and store.count("c") == 600 and len(store.files.names(f"{store.root}/c/manifests")) == 1
+
+
+def test_embedding_service_over_http():
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+    import json
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            texts = asked["input"]
+            data = [{"index": i, "embedding": [float(len(t)), float(i)]} for i, t in enumerate(texts)][::-1]
+            if "drop" in texts:
+                data = data[1:]
+            code = 500 if "fail" in texts else 200
+            body = json.dumps({"data": data, "usage": {"total_tokens": 7}, "model": asked["model"], "auth": self.headers["Authorization"]}).encode()
+            self.send_response(code)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        call = embedding.http_client(f"http://127.0.0.1:{server.server_port}/v1/", "m", "key")()
+        assert call(["a", "bbb"]) == [([1.0, 0.0], 4), ([3.0, 1.0], 3)]
+        for bad in (["a", "drop"], ["fail"]):
+            with pytest.raises(EmbeddingFailed):
+                call(bad)
+        with pytest.raises(EmbeddingFailed):
+            embedding.http_client("http://127.0.0.1:9/", "m", timeout=2)()(["a"])
+    finally:
+        server.shutdown()
+
+
+def test_local_model_pools_token_vectors(spark):
+    def load():
+        return lambda texts: ([[[1.0, 0.0], [3.0, 4.0], [9.0, 9.0]] for _ in texts], [[1, 1, 0] for _ in texts])
+
+    e = embedding.local_model("m", load, 2)
+    out, _ = embedding.embed(spark.createDataFrame([("1", "abc")], "id string, content string"), e)
+    r = out.first()
+    assert r.vector == pytest.approx([2 / 8**0.5, 2 / 8**0.5]) and r.total_tokens == 2
+
+
+def test_chunker_plug_in(engine, spark):
+    def halves(text):
+        if "!" in text:
+            raise ValueError("no marks")
+        w = text.split()
+        return [(" ".join(w[: len(w) // 2]), len(w) // 2), (" ".join(w[len(w) // 2 :]), len(w) - len(w) // 2)]
+
+    docs = spark.createDataFrame([("p", "one two three four", None, None), ("q", "bad!", None, None)], DOCS)
+    status = {r.id: (r.status, r.error) for r in engine.ingest("c", docs, chunker=chunking.chunker_of(halves)).collect()}
+    assert status == {"p-chunk-0001": ("ok", None), "p-chunk-0002": ("ok", None), "q": ("error", "no marks")}
+    assert engine.get("c", "p-chunk-0002")["content"] == "three four"
+
+
+def test_key_values(spark, tmp_path):
+    kv = KeyValues(spark, str(tmp_path / "kv"))
+    t = datetime(2024, 1, 1)
+    assert kv.get("a", t) is None
+    kv.set("a", "x", timedelta(hours=2), t)
+    assert kv.get("a", t + timedelta(hours=1)) == "x" and kv.get("a", t + timedelta(hours=2)) is None
+    assert kv.incr("n", 3, t) == 3 and kv.incr("n", 4, t + timedelta(hours=1)) == 7
+    kv.expire_if_unset("n", timedelta(hours=5), t + timedelta(hours=2))
+    kv.expire_if_unset("n", timedelta(hours=50), t + timedelta(hours=3))
+    assert kv.get("n", t + timedelta(hours=6)) == "7" and kv.get("n", t + timedelta(hours=8)) is None
+    assert kv.incr("n", 1, t + timedelta(hours=9)) == 1  # what has expired starts anew
+    kv.compact(t + timedelta(hours=10))
+    assert {r.key: r.value for r in kv.all(t + timedelta(hours=11)).collect()} == {"n": "1"}
+
+
 @dataclass
 class Place:
     key: str = role("id")

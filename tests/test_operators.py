@@ -76,7 +76,7 @@ def test_knn_batch_is_exact_with_ties(spark):
     x[50:60] = x[40]
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [0.0] * 6)], "id long, vector array<float>")
     q = df.where("id < 45").select(F.col("id").alias("query_id"), "vector")
-    got = {(r.query_id, r["rank"]): r.id for r in knn.knn_batch(q, df, 7, block=10).collect()}
+    got = {(r.query_id, r["rank"]): r.id for r in knn.knn_batch(q, df, 7, query_bytes=10 * 8 * 8).collect()}
     f = x.astype("f4").astype("f8")
     u = f / np.linalg.norm(f, axis=1)[:, None]
     for i in range(45):
@@ -85,6 +85,38 @@ def test_knn_batch_is_exact_with_ties(spark):
         assert [got[i, r] for r in range(1, 8)] == want
 
 
+def test_knn_batch_with_vectors_of_other_lengths(spark):
+    rows = [(i, [1.0, float(i)]) for i in range(5)] + [(10 + i, [1.0, 0.0, float(i)]) for i in range(4)] + [(90, []), (91, None), (92, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    near = knn.similar_pairs(df, 3).collect()
+    kind = lambda i: "two" if i < 10 else "three"
+    assert {r.query_id for r in near} == {*range(5), *range(10, 14)} and all(kind(r.query_id) == kind(r.id) for r in near)
+    assert [r.id for r in sorted(near, key=lambda r: r["rank"]) if r.query_id == 0] == [1, 2, 3]
+
+
+def test_sentences_end_before_any_white_space(spark):
+    from fathom.functions import text
+
+    cases = {"One.\u00a0Two!\u3000Three? Four": ["One.", "Two!", "Three?", "Four"], "a.b c": ["a.b c"], "(End.) Next\n\nlast": ["(End.)", "Next", "last"]}
+    rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", text.sentences(F.col("t")).alias("s")).collect()
+    assert {r.t: r.s for r in rows} == cases
+
+
+def test_admission_counts_across_seconds(spark):
+    from datetime import datetime, timedelta
+
+    rng = np.random.default_rng(3)
+    base = datetime(2024, 1, 1)
+    rows = [(i, base + timedelta(days=int(rng.integers(0, 3)), seconds=int(rng.integers(0, 20)), milliseconds=int(rng.integers(0, 3))), int(rng.integers(0, 50))) for i in range(300)]
+    got = {r.event_id: (r.used_before, r.allowed) for r in usage.admit(spark.createDataFrame(rows, "event_id long, ts timestamp, tokens long"), 900).collect()}
+    want, used = {}, {}
+    for i, t, n in sorted(rows, key=lambda r: (r[1], r[0])):
+        before = used.get(t.date(), 0)
+        want[i] = (before, before < 900)
+        used[t.date()] = before + n
+    assert got == want
+
+
 def test_rrf_numbers(spark):
     a = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "id string, rank int")
     b = spark.createDataFrame([("b", 1), ("d", 2), ("a", 3)], "id string, rank int")
