@@ -9,6 +9,9 @@ from fathom.model import Collection, Field
 from fathom.operators import filters, mutations
 from fathom.operators.filters import Filter, Match, Range
 from fathom.plans.registry import query, table
+from fathom.sources import scratch
+from fathom.sources.store import Store
+from fathom.streaming import usage as streaming
 
 
 @query("point_get", "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey = 42")
@@ -38,6 +41,28 @@ def list_page_keyset(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("o_orderkey", "o_orderstatus")
 
 
+@query("prefix_scan", "SELECT c_custkey, c_name FROM customer WHERE starts_with(c_name, 'Customer#00000010')")
+def prefix_scan(spark: SparkSession, d: str) -> DataFrame:
+    return mutations.prefix_scan(table(spark, d, "customer"), "Customer#00000010", "c_name").select("c_custkey", "c_name")
+
+
+@query("query_list", "SELECT p_partkey, p_size FROM part WHERE p_size >= 10 AND p_size < 30 ORDER BY p_partkey OFFSET 40 LIMIT 25")
+def query_list(spark: SparkSession, d: str) -> DataFrame:
+    """A filter and a page in one query."""
+    part = table(spark, d, "part")
+    spec = Filter(must=(Range("p_size", gte=10, lt=30),))
+    return mutations.query_list(part, filters.predicate(part, spec), 40, 25, "p_partkey").select("p_partkey", "p_size")
+
+
+@query("collections_page", "SELECT 'c' || n_nationkey AS name, n_nationkey::BIGINT AS created_at FROM nation WHERE n_nationkey > 9 ORDER BY n_nationkey LIMIT 5")
+def collections_page(spark: SparkSession, d: str) -> DataFrame:
+    """A collection for each nation; the page behind c9."""
+    store = Store(spark, scratch.new_folder(spark, "catalog"))
+    for r in table(spark, d, "nation").select("n_nationkey").collect():
+        store.create(Collection(f"c{r.n_nationkey}", (), 8, created_at=r.n_nationkey + 1))
+    return spark.createDataFrame([(c.name, c.created_at - 1) for c in store.list("c9", 5)], "name string, created_at long")
+
+
 @query("count_filtered", "SELECT count(*) AS n FROM part WHERE p_size >= 10 AND p_size < 30 AND (p_brand = 'Brand#1' OR p_retailprice > 1000) AND NOT p_type = 'x'")
 def count_filtered(spark: SparkSession, d: str) -> DataFrame:
     spec = Filter.parse({
@@ -93,6 +118,20 @@ def bulk_upsert_merge(spark: SparkSession, d: str) -> DataFrame:
     return _flat(mutations.upsert_merge(_old(spark, d), _new(spark, d)))
 
 
+@query("stream_upsert", f"WITH {_OLD}, {_NEW} SELECT id, coalesce(n.content, o.content) AS content, coalesce(n.segment, o.segment) AS segment, coalesce(n.kept, o.kept) AS kept, coalesce(n.balance, o.balance) AS balance, coalesce(n.nation, o.nation) AS nation FROM o FULL JOIN n USING (id)")
+def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Customers in a stored collection; suppliers arrive as a stream and are merged by id, and once more after the stream has lost its place."""
+    place = scratch.new_folder(spark, "stream-upsert")
+    store = Store(spark, f"{place}/store")
+    store.create(Collection("c", (), 8))
+    store.upsert("c", _old(spark, d))
+    _new(spark, d).write.parquet(f"{place}/in")
+    arriving = spark.readStream.schema(spark.read.parquet(f"{place}/in").schema).parquet(f"{place}/in")
+    for turn in range(2):
+        streaming.bulk_load(arriving, lambda df: store.upsert("c", df, "merge"), f"{place}/checkpoint-{turn}").awaitTermination()
+    return _flat(store.read("c"))
+
+
 @query("upsert_created", f"WITH {_OLD}, {_NEW} SELECT id, id NOT IN (SELECT id FROM o) AS created FROM n")
 def upsert_created(spark: SparkSession, d: str) -> DataFrame:
     return mutations.created(_old(spark, d), _new(spark, d))

@@ -10,7 +10,9 @@ from fathom.model import Collection, Field, Mode, SearchRequest, SimilarRequest
 from fathom.operators import bm25, evaluate, filters, fusion, knn
 from fathom.operators.filters import Filter, Match, Range
 from fathom.operators.search import Searcher
+from fathom.operators.chunking import fixed_windows
 from fathom.plans.registry import query, table
+from fathom.sources import scratch
 
 K = 10
 STUB_DIM = 16
@@ -139,26 +141,37 @@ def _bm25_top(terms: tuple[str, ...], operator: str, where: str = "true") -> str
     return _bm25_sql(terms, operator, where) + f" SELECT id, round(score, 6) AS score FROM m ORDER BY m.score DESC, id LIMIT {K}"
 
 
-def _bm25(df: DataFrame, text: str, operator: str, pool: DataFrame | None = None) -> DataFrame:
-    found = bm25.matches(df if pool is None else pool, text, operator=operator, stats_of=df)
+_INDEXES: dict[str, bm25.KeywordIndex] = {}
+
+
+def keyword_index(spark: SparkSession, d: str, name: str, docs: DataFrame) -> bm25.KeywordIndex:
+    """The stored postings of a table, as a collection keeps them: made by the first query, and anew if the files change."""
+    key = f"{spark.sparkContext.applicationId} {scratch.state_of(spark, f'{d}/{name}.parquet')}"
+    if key not in _INDEXES:
+        _INDEXES[key] = bm25.KeywordIndex.write(docs.select("id", "content"), scratch.new_folder(spark, f"keywords-{name}"))
+    return _INDEXES[key]
+
+
+def _bm25(spark: SparkSession, d: str, text: str, operator: str, pool: DataFrame | None = None) -> DataFrame:
+    found = keyword_index(spark, d, "documents", text_documents(spark, d)).matches(text, operator, pool)
     return found.orderBy(F.col("score").desc(), "id").limit(K).select("id", F.round("score", 6).alias("score"))
 
 
 @query("bm25_and", _bm25_top(("the", "with", "and"), "AND"))
 def bm25_and(spark: SparkSession, d: str) -> DataFrame:
-    return _bm25(text_documents(spark, d), "The with, AND", "and")
+    return _bm25(spark, d, "The with, AND", "and")
 
 
 @query("bm25_or", _bm25_top(("thention", "quever", "license"), "OR"))
 def bm25_or(spark: SparkSession, d: str) -> DataFrame:
-    return _bm25(text_documents(spark, d), "thention quever license", "or")
+    return _bm25(spark, d, "thention quever license", "or")
 
 
 @query("bm25_filtered", _bm25_top(("license", "the"), "AND", "lang = 'en' AND n_chars >= 500 AND source <> 'src3'"))
 def bm25_filtered(spark: SparkSession, d: str) -> DataFrame:
     df = text_documents(spark, d)
     spec = Filter(must=(Match("lang", "en"), Range("n_chars", gte=500)), must_not=(Match("source", "src3"),))
-    return _bm25(df, "license the", "and", filters.apply(df, spec))
+    return _bm25(spark, d, "license the", "and", filters.apply(df, spec))
 
 
 @query(
@@ -167,11 +180,12 @@ def bm25_filtered(spark: SparkSession, d: str) -> DataFrame:
     + ", r AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) - 1 AS rank, count(*) OVER () AS total FROM m) SELECT id, rank, total, round((total - rank)::DOUBLE / total, 6) AS score FROM r WHERE rank < 20",
 )
 def keyword_rank_score(spark: SparkSession, d: str) -> DataFrame:
+    """Without stored postings: terms are counted in place."""
     found = bm25.matches(text_documents(spark, d), "license the")
     return bm25.keyword_ranked(found, 20).select("id", F.col("rank").cast("long").alias("rank"), "total", F.round("score", 6).alias("score"))
 
 
-_QUERIES_SQL = f"SELECT item_id AS query_id, {_tokens('text')}[2:5] AS words FROM benchmark"
+_QUERIES_SQL = f"SELECT item_id AS query_id, {_tokens('text')} AS words FROM benchmark"
 
 
 @query(
@@ -187,16 +201,17 @@ _QUERIES_SQL = f"SELECT item_id AS query_id, {_tokens('text')}[2:5] AS words FRO
     SELECT query_id, id, round(score, 6) AS score, rank FROM r WHERE rank <= 5""",
 )
 def bm25_batch(spark: SparkSession, d: str) -> DataFrame:
-    from fathom.functions.text import tokens
-
-    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(tokens(F.col("text")), 2, 4), " ").alias("text"))
+    """Whole benchmark texts as queries, against the stored postings."""
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
-    return bm25.batch(q, docs, 5, operator="or").select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    index = keyword_index(spark, d, "documents", text_documents(spark, d))
+    index = bm25.KeywordIndex(index.postings.withColumn("id", F.col("id").cast(docs.schema["id"].dataType)), index.n, index.avgdl, index.buckets)
+    return index.batch(q, 5, operator="or").select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("bm25_batch_whole")
 def bm25_batch_whole(spark: SparkSession, d: str) -> DataFrame:
-    """As bm25_batch, whose SQL takes four words of each text, with the whole texts as queries; a test has the brute force."""
+    """The same without an index: postings of the queries' terms are drawn from the texts; a test has the brute force."""
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
     return bm25.batch(q, docs, 5, operator="or").select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
@@ -222,9 +237,6 @@ def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     return fusion.rrf(*lists).select("id", F.round("score", 9).alias("score"))
 
 
-_QUERY = "license the"
-
-
 def chunk_collection(spark: SparkSession, d: str) -> Searcher:
     """conversations as chunks of documents: a conversation is a document, a turn a chunk; stub vectors of the text."""
     t = table(spark, d, "conversations")
@@ -233,13 +245,17 @@ def chunk_collection(spark: SparkSession, d: str) -> Searcher:
         F.lit(None).cast("map<string,double>").alias("numerics"), stub_vector(F.col("text"), STUB_DIM).alias("vector"),
         F.col("conv_id").cast("string").alias("parent_doc_id"), F.col("turn").cast("double").alias("chunk_index"),
     )
-    return Searcher(df, Collection("turns", (Field("role", "tag"),), STUB_DIM), embed_query=lambda q: stub_vector_of(q, STUB_DIM))
+    return Searcher(df, Collection("turns", (Field("role", "tag"),), STUB_DIM), embed_query=lambda q: stub_vector_of(q, STUB_DIM), keyword_index=lambda: keyword_index(spark, d, "conversations", df))
 
 
-def document_collection(spark: SparkSession, d: str) -> Searcher:
-    docs = text_documents(spark, d)
-    df = docs.select("*", F.lit(None).cast("map<string,string>").alias("tags"), F.lit(None).cast("map<string,double>").alias("numerics"), stub_vector(F.col("content"), STUB_DIM).alias("vector"))
-    return Searcher(df, Collection("documents", (Field("lang", "tag"), Field("source", "tag"), Field("n_chars", "numeric")), STUB_DIM), embed_query=lambda q: stub_vector_of(q, STUB_DIM))
+def window_collection(spark: SparkSession, d: str) -> Searcher:
+    """documents cut into windows of words, as chunks of documents; keyword search counts in place."""
+    c = fixed_windows(table(spark, d, "documents"), 128, 16, "doc_id", "text")
+    df = c.select(
+        F.col("chunk_id").alias("id"), "content", F.lit(None).cast("map<string,string>").alias("tags"), F.lit(None).cast("map<string,double>").alias("numerics"),
+        stub_vector(F.col("content"), STUB_DIM).alias("vector"), F.col("source_doc_id").cast("string").alias("parent_doc_id"), F.col("chunk_idx").cast("double").alias("chunk_index"),
+    )
+    return Searcher(df, Collection("windows", (), STUB_DIM), embed_query=lambda q: stub_vector_of(q, STUB_DIM))
 
 
 def _hex_number(block: str, k: str) -> str:
@@ -254,14 +270,13 @@ def stub_sql(text: str) -> str:
 
 
 _TURNS = f"SELECT conv_id || '-' || turn AS id, conv_id::VARCHAR AS parent, turn::DOUBLE AS ci, role, {stub_sql('text')} AS v, {_tokens('text')} AS t FROM conversations"
-_VQ = f"vq AS (SELECT {stub_sql(repr(_QUERY))} AS v)"
 
 
-def _branches(window: int, where: str = "true") -> str:
+def _branches(window: int, where: str = "true", chunks: str = _TURNS) -> str:
     terms = ("the", "and")
     tf = ", ".join(f"len(list_filter(t, lambda x: x = '{w}')) AS tf{i}" for i, w in enumerate(terms))
     part = " + ".join(f"ln(1 + (n - df{i} + 0.5) / (df{i} + 0.5)) * (tf{i} * 2.2 / (tf{i} + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl)))" for i in range(2))
-    return f"""WITH c AS ({_TURNS}), vq AS (SELECT {stub_sql("'the and'")} AS v),
+    return f"""WITH c AS ({chunks}), vq AS (SELECT {stub_sql("'the and'")} AS v),
     knn AS (SELECT id, s, row_number() OVER (ORDER BY s DESC, id) AS rank FROM (SELECT id, greatest(0, list_cosine_similarity(c.v, vq.v)) AS s FROM c, vq WHERE {where})),
     d AS (SELECT id, role, len(t) AS dl, {tf} FROM c), st AS (SELECT count(*) AS n, avg(dl) AS avgdl, count(*) FILTER (tf0 > 0) AS df0, count(*) FILTER (tf1 > 0) AS df1 FROM d),
     kw AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank, count(*) OVER () AS total FROM (SELECT id, {part} AS score FROM d, st WHERE tf0 > 0 AND tf1 > 0 AND {where})),
@@ -291,6 +306,17 @@ query("hybrid_filtered", _branches(100, "role = 'user'") + _HY + _AGG.format(k=2
 query("semantic_min_score", _branches(100) + _SEM + _AGG.format(k=20, where="WHERE score >= 0.4", limit=5))(_mode_query(Mode.SEMANTIC, min_score=0.4, limit=5))
 
 
+_WINDOWS = f"""SELECT 'scifact-' || doc_id || '-c' || i AS id, doc_id::VARCHAR AS parent, i::DOUBLE AS ci, NULL AS role, {stub_sql('x')} AS v, {_tokens('x')} AS t
+FROM (SELECT doc_id, i, array_to_string(w[(i * 110 + 1):(i * 110 + 126)], ' ') AS x FROM (
+    SELECT doc_id, w, unnest(range(0, greatest(1, ceil((len(w) - 16) / 110.0))::INT)) AS i FROM (SELECT doc_id, list_filter(string_split_regex(trim(text), '\\s+'), lambda x: x <> '') AS w FROM documents) WHERE len(w) > 0))"""
+
+
+@query("hybrid_chunked_docs", _branches(100, chunks=_WINDOWS) + _HY + _AGG.format(k=20, where="", limit=20))
+def hybrid_chunked_docs(spark: SparkSession, d: str) -> DataFrame:
+    hits = window_collection(spark, d).search(SearchRequest("the and", Mode.HYBRID, top_k=20)).hits
+    return hits.select("id", F.round("score", 9).alias("score"), "chunk_id")
+
+
 @query("min_score_total", _branches(100) + _SEM + _AGG.format(k=20, where="WHERE score >= 0.4", limit=100).replace("SELECT id, round(score, 9) AS score, chunk_id FROM top", "SELECT count(*) AS total FROM top").split("ORDER BY top.score")[0])
 def min_score_total(spark: SparkSession, d: str) -> DataFrame:
     found = chunk_collection(spark, d).search(SearchRequest("the and", Mode.SEMANTIC, top_k=20, min_score=0.4, limit=5))
@@ -358,6 +384,22 @@ def eval_best_worst(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.best_and_worst(rounded).select("mode", "side", F.col("place").cast("long").alias("place"), "query_id", "ndcg")
 
 
-@query("missing_judged", "SELECT l.doc_id FROM labels l ANTI JOIN documents d ON l.doc_id = d.doc_id")
+@query("missing_judged", "SELECT l.doc_id FROM labels l ANTI JOIN (SELECT * FROM documents WHERE lang <> 'de') d ON l.doc_id = d.doc_id")
 def missing_judged(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.missing_judged(table(spark, d, "labels").select("doc_id"), table(spark, d, "documents"))
+    """Judged documents that a corpus without the German ones lacks."""
+    return evaluate.missing_judged(table(spark, d, "labels").select("doc_id"), table(spark, d, "documents").where("lang <> 'de'"))
+
+
+_RUNS = "SELECT p_brand AS run, round(avg(p_retailprice), 6) AS ndcg, round(avg(p_size), 6) AS recall, count(*) AS qps, round(sum(p_retailprice), 2) AS ingest_rate, round(min(p_retailprice), 6) AS elapsed FROM part GROUP BY p_brand"
+_BEST = ", ".join(f"(SELECT run FROM r ORDER BY {m} {'ASC' if m == 'elapsed' else 'DESC'}, run LIMIT 1) AS best_{m}" for m in ("ndcg", "recall", "qps", "ingest_rate", "elapsed"))
+
+
+@query("eval_best_runs", f"WITH r AS ({_RUNS}) SELECT {_BEST}")
+def eval_best_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Brands of parts as runs, their figures as metrics."""
+    p = table(spark, d, "part").groupBy(F.col("p_brand").alias("run"))
+    runs = p.agg(
+        F.round(F.avg("p_retailprice"), 6).alias("ndcg"), F.round(F.avg("p_size"), 6).alias("recall"), F.count(F.lit(1)).alias("qps"),
+        F.round(F.sum("p_retailprice"), 2).alias("ingest_rate"), F.round(F.min("p_retailprice"), 6).alias("elapsed"),
+    )
+    return evaluate.best_runs(runs)
