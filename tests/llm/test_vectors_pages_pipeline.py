@@ -73,6 +73,29 @@ def test_rows_without_id_and_repeated_rows(spark):
     assert got == Counter({(None, 0, None, False): 1, (4, 1, 4, True): 2, (5, 0, 5, True): 1})
 
 
+def test_one_id_for_different_vectors(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [1.0, 0.01], 1), (3, [0.01, 1.0], 1)], "vec_id long, embedding array<double>, label int")
+    got = Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in covertree.near_vectors(df).collect())
+    assert got == Counter({(1, 1, 1, True): 2, (2, 1, 1, False): 1, (3, 1, 1, False): 1})
+
+
+def test_large_cells_are_split_by_pivots_of_their_own(spark):
+    """Clusters far apart in one label: few of all pairs of blocks are left to compare, and no link is lost."""
+    rng = np.random.default_rng(6)
+    centers = rng.normal(size=(12, 32))
+    x = np.concatenate([c + rng.normal(size=(120, 32)) * 0.04 for c in centers])
+    rows = [(i, v, 1) for i, v in enumerate(x.astype("f4").tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in covertree.near_vectors(df, block=40).collect()}
+    assert got == brute_links(rows)
+    classes = df.selectExpr("label", "embedding AS vec", "1L AS copies", "size(embedding) AS dim", "vec_id AS rep")
+    dealt, pivots = covertree._cells(classes, len(rows), 400)
+    members, subs = covertree._split(dealt.withColumn("cell_far", F.col("far")), 40)
+    pairs = covertree._pairs(members, pivots, subs, 40, 0.98)
+    blocks = members.select("cell", "sub").distinct().count()
+    assert subs.count() > 20 and pairs.select("cell", "sub", "cell2", "sub2").distinct().count() < 0.5 * blocks * blocks / 2
+
+
 def test_tree_bounds_hold():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(700, 16))
@@ -121,9 +144,30 @@ def test_audit(spark):
     other[other.index((9001, "u", ""))] = (9001, "u", None)
     other.remove((12, "twice", "b"))
     other += [(7, "new", "n"), (100_000, "far", "n")]
-    got = {r.page_id: (r.status, r.range_start) for r in merkle.audit(pages(spark, base), pages(spark, other)).collect()}
     want = {-70: "missing", 500: "missing", -1: "altered", 2: "altered", 4997: "altered", 9001: "altered", 12: "altered", 7: "extra", 100_000: "extra"}
-    assert {k: s for k, (s, _) in got.items()} == want and all(s == k // 64 * 64 for k, (_, s) in got.items())
+    length = lambda u, h: len("WARC/1.1\r\nWARC-Type: resource\r\n\r\n\r\n\r\n") + (len(f"WARC-Target-URI: {u}\r\n") if u is not None else 0) + (len(f"Content-Length: {len(h)}\r\n{h}") if h is not None else 0)
+    room, size = {}, {}
+    for side in (other, base):  # the first archive's own length counts
+        sums = Counter()
+        for i, u, h in side:
+            if i is not None:
+                sums[i] += length(u, h)
+        room |= sums
+        size = dict(sums)
+    at, offset, places = 0, 0, {}
+    for i in sorted(room):
+        places[i] = (offset, at >> 16 << 16)
+        at, offset = at + room[i], offset + size.get(i, 0)
+    got = {r.page_id: (r.status, r.offset, r.range_start) for r in merkle.audit(pages(spark, base), pages(spark, other)).collect()}
+    assert got == {i: (s, *places[i]) for i, s in want.items()} and len({p[1] for p in places.values()}) > 3
+
+
+def test_audit_of_large_and_sparse_numbers(spark):
+    """Numbers beyond 2^53 keep apart, and levels shrink however far numbers lie from each other."""
+    base = [((1 << 62) + 7 * i, f"u{i}", "x" * 900) for i in range(400)] + [(i * 977_123_456_789, f"v{i}", "y" * 900) for i in range(400)]
+    other = [(n, u, h + "!" if k in (5, 6, 500) else h) for k, (n, u, h) in enumerate(base) if k != 399]
+    got = {r.page_id: r.status for r in merkle.audit(pages(spark, base), pages(spark, other)).collect()}
+    assert got == {base[5][0]: "altered", base[6][0]: "altered", base[500][0]: "altered", base[399][0]: "missing"}
 
 
 def test_audit_of_nothing(spark):
