@@ -2,30 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathom.llm.runtime import bounded_batches, materialize, text_or_empty
+from fathom.llm.runtime import bounded_batches, few, materialize, text_or_empty
 
 WINDOW = 35
-#: Words of the n-grams of which each window's smallest hash is its anchor.
-GRAM = 8
-#: Rows of the sketch, and the most cells of a row (as a power of two): 2 x 2^28 cells make a bitmap of 64 MB.
-DEPTH, MOST_BITS = 2, 28
-SLICE_BITS = 20
+#: Cells of the sketch for each window, at least, and cells of a slice of it (as a power of two), which one task counts at a time.
+CELLS, SLICE_BITS = 8, 22
 #: Bytes of text of a block of documents, about, and of what is hashed at once.
 BLOCK_BYTES, HASH_BYTES = 6 << 20, 1 << 20
+#: Rows of one id and one text that are kept as they are; more are one row with their number.
+SAME_ROWS = 16
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 1 << 63, (2, 256), dtype="u8") * 2 + 1
 _BASE = [int(x) * 2 + 1 for x in _rng.integers(1 << 40, 1 << 62, 4)]
-_SALT = _rng.integers(1, 1 << 63, DEPTH, dtype="u8") * 2 + 1
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -82,115 +79,96 @@ def _hashes(texts: pa.BinaryArray, lanes: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out, axis=1) if out else np.zeros((lanes, 0), "u8"), np.concatenate([[0], np.cumsum(counts)])
 
 
-def _slide(x: np.ndarray, width: int, op) -> np.ndarray:
-    """op over each `width` neighbours, by doubling."""
-    size = 1
-    while 2 * size <= width:
-        x = op(x[:-size], x[size:])
-        size *= 2
-    return op(x[: len(x) - (width - size)], x[width - size :]) if width > size else x
-
-
-def _anchors(words: np.ndarray, begins: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The n-gram hashes, each window's smallest one, and which windows lie within one text."""
+def _windows(texts: pa.BinaryArray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First words of texts, the first words of all windows, and the windows' 128-bit hashes as pairs."""
+    words, begins = _hashes(texts, 2)
     n = words.shape[1]
-    if n < window:
-        return np.zeros(0, "u8"), np.zeros(0, "u8"), np.zeros(0, bool)
-    grams = _mix(_spans(words[0], slice(0, n - gram + 1), slice(gram, n + 1), _BASE[2]))
-    low = _slide(grams, window - gram + 1, np.minimum)
     inside = np.zeros(n + 1, "i8")
     fits = np.diff(begins) >= window
     np.add.at(inside, begins[:-1][fits], 1)
     np.add.at(inside, begins[1:][fits] - window + 1, -1)
-    return grams, low, np.cumsum(inside)[: n - window + 1] > 0
+    at = np.flatnonzero(np.cumsum(inside)[: max(0, n - window + 1)] > 0)
+    pairs = np.empty(len(at), [("x", "u8"), ("y", "u8")])
+    for k, name in enumerate(("x", "y")):
+        if len(at):
+            pairs[name] = _mix(_spans(words[k], slice(0, n - window + 1), slice(window, n + 1), _BASE[3 - k])[at])
+    return begins, at, pairs
+
+
+_STEP = 0x7FFF
+
+
+def _coded(cells: np.ndarray, twice: np.ndarray) -> bytes:
+    """Ascending cells of a slice and a flag for each, as 16-bit steps: 15 bits of the way from the cell before, the largest of
+    which only leads on."""
+    q, r = np.divmod(np.diff(cells, prepend=0), _STEP)
+    out = np.full(len(cells) + int(q.sum()), _STEP, "<u2")
+    out[np.cumsum(q + 1) - 1] = r.astype("u2") | (twice.astype("u2") << np.uint16(15))
+    return out.tobytes()
 
 
-def _cells(anchors: np.ndarray, bits: int) -> list[np.ndarray]:
-    return [(anchors * s) >> np.uint64(64 - bits) for s in _SALT]
+def _decoded(data: pa.Buffer) -> tuple[np.ndarray, np.ndarray]:
+    x = np.frombuffer(data, "<u2")
+    step = x & np.uint16(_STEP)
+    real = step != _STEP
+    return np.cumsum(step, dtype="i8")[real], (x >> np.uint16(15))[real] == 1
 
 
-def _sketch(docs: DataFrame, bits: int, window: int, gram: int) -> list[tuple[int, bytes]]:
-    """The merged sketch's cells that hold 2 or more, as bitmaps of slices of 2^SLICE_BITS cells (all rows in turn).
+def _sketch(blocks: DataFrame, bits: int, window: int) -> DataFrame:
+    """Rows (block, slice, flags): for the cells that a block's windows fall into, in order, whether the merged sketch counts 2 or more there.
 
-    Each task counts its anchors, 2 standing for more, and sends its used cells by slice; a slice's senders are merged as
-    they stream by. Two windows of the same words that start at two places have their anchors at two places, so a cell
-    holds at least the count of each window with that anchor: counts are overestimated, never underestimated.
+    The sketch has 2^bits cells, as many as the number of windows asks for; no task ever holds it. Each block counts its
+    windows by cell, 2 standing for more, and sends its cells by slice; the task of a slice adds up what all blocks sent
+    and answers each of them. Counts are those of all windows in a cell: overestimated, never underestimated.
     """
     slice_bits = min(bits, SLICE_BITS)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def send() -> Iterator[pa.RecordBatch]:
-            every = np.concatenate(held)
-            for row, cells in enumerate(_cells(every, bits)):
-                cells, n = np.unique(cells + np.uint64(row << bits), return_counts=True)
-                coded = ((cells & np.uint64((1 << slice_bits) - 1)) << np.uint64(1) | (n > 1).astype("u8")).astype("<u4")
-                own, first = np.unique(cells >> np.uint64(slice_bits), return_index=True)
-                parts = [coded[s:e].tobytes() for s, e in zip(first, [*first[1:], len(coded)], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(own.astype("i4")), pa.array(parts, pa.binary())], names=["slice", "cells"])
-
-        for batch in batches:
-            words, begins = _hashes(batch.column(0), 1)
-            grams, low, valid = _anchors(words, begins, window, gram)
-            if valid.any():
-                width = window - gram + 1
-                reach = np.concatenate([np.zeros(width - 1, "u8"), np.where(valid, low, np.uint64(0)), np.zeros(width - 1, "u8")])
-                held.append(grams[_slide(reach, width, np.maximum) >= grams])
-                size += len(held[-1])
-            if size > 2_000_000:
-                yield from send()
-                held, size = [], 0
-        if held:
-            yield from send()
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, counts = None, np.zeros(1 << slice_bits, "u1")
-
-        def send() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.packbits(counts > 1, bitorder="little").tobytes()], pa.binary())], names=["slice", "cells"])
-
-        for batch in batches:
-            for own, cells in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if own != at:
-                    if at is not None:
-                        yield send()
-                    at = own
-                    counts[:] = 0
-                c = np.frombuffer(cells.as_buffer(), "<u4")
-                where = c >> 1
-                counts[where] = np.minimum(2, counts[where] + (c & 1).astype("u1") + 1)
-        if at is not None:
-            yield send()
-
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sent = docs.select("text").mapInArrow(count, "slice int, cells binary")
-    merged = sent.repartition(n, "slice").sortWithinPartitions("slice").mapInArrow(merge, "slice int, cells binary")
-    return [(r["slice"], bytes(r["cells"])) for r in merged.toLocalIterator()]
-
-
-def _bitmap(slices: list[tuple[int, bytes]], bits: int) -> np.ndarray:
-    step = 1 << (min(bits, SLICE_BITS) - 3)
-    out = np.zeros(DEPTH << (bits - 3), "u1")
-    for own, cells in slices:
-        out[own * step : (own + 1) * step] = np.frombuffer(cells, "u1")
-    return out
-
-
-def _candidates(texts: pa.BinaryArray, bitmap: np.ndarray, bits: int, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First words of texts, the windows that the sketch lets pass (their first words), and their 128-bit hashes as pairs."""
-    words, begins = _hashes(texts, 2)
-    _, low, valid = _anchors(words, begins, window, gram)
-    at = np.flatnonzero(valid)
-    for row in range(DEPTH):
-        cells = ((low[at] * _SALT[row]) >> np.uint64(64 - bits)) + np.uint64(row << bits)
-        at = at[(bitmap[(cells >> np.uint64(3)).astype("i8")] >> (cells & np.uint64(7)).astype("u1")) & 1 == 1]
-    pairs = np.empty(len(at), [("x", "u8"), ("y", "u8")])
-    for k, name in enumerate(("x", "y")):
-        n = words.shape[1]
-        if len(at):
-            pairs[name] = _mix(_spans(words[k], slice(0, n - window + 1), slice(window, n + 1), _BASE[3 - k])[at])
-    return begins, at, pairs
+    def count(key: tuple, table: pa.Table) -> pa.Table:
+        cells, n = _cells_of(table, bits, window)
+        twice = n > 1
+        own, first = np.unique(cells >> np.uint64(slice_bits), return_index=True)
+        low = (cells & np.uint64((1 << slice_bits) - 1)).astype("i8")
+        parts = [_coded(low[s:e], twice[s:e]) for s, e in zip(first, [*first[1:], len(cells)][: len(first)], strict=True)]
+        return pa.table({"slice": pa.array(own.astype("i8")), "block": pa.array(np.full(len(own), key[0].as_py(), "i8")), "cells": pa.array(parts, pa.binary())})
+
+    def merge(key: tuple, table: pa.Table) -> pa.Table:
+        counts = np.zeros(1 << slice_bits, "u1")
+        sent = [_decoded(c.as_buffer()) for c in table.column("cells")]
+        for cells, twice in sent:
+            counts[cells] = np.minimum(2, counts[cells] + twice + 1)
+        flags = [np.packbits(counts[cells] > 1, bitorder="little").tobytes() for cells, _ in sent]
+        return pa.table({"block": table.column("block"), "slice": table.column("slice"), "flags": pa.array(flags, pa.binary()), "cells": pa.array([len(c) for c, _ in sent], pa.int32())})
+
+    sent = blocks.groupBy("block").applyInArrow(count, "slice long, block long, cells binary")
+    return sent.groupBy("slice").applyInArrow(merge, "block long, slice long, flags binary, cells int")
+
+
+def _cells_of(table: pa.Table, bits: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct cells of a block's windows, ascending, and how many windows fall into each; windows of repeated rows count twice."""
+    begins, at, pairs = _windows(_text(table), window)
+    cells = pairs["x"] >> np.uint64(64 - bits)
+    more = _of_repeated(table, begins, at)
+    return np.unique(np.concatenate([cells, cells[more]]), return_counts=True)
+
+
+def _of_repeated(table: pa.Table, begins: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which windows are of rows that stand for several."""
+    n = table.column("n").to_numpy()
+    return n[np.searchsorted(begins, at, "right") - 1] > 1 if len(at) and (n > 1).any() else np.zeros(len(at), bool)
+
+
+def _candidates(table: pa.Table, notes: pa.Table, bits: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First words of texts, the windows that the sketch lets pass (their first words), their hashes, and which are of repeated rows."""
+    begins, at, pairs = _windows(_text(table), window)
+    more = _of_repeated(table, begins, at)
+    cells, place = np.unique(pairs["x"] >> np.uint64(64 - bits), return_inverse=True)
+    notes = notes.sort_by("slice")
+    sizes = notes.column("cells").to_pylist()
+    flags = [np.unpackbits(np.frombuffer(f.as_buffer(), "u1"), count=n, bitorder="little") for f, n in zip(notes.column("flags"), sizes, strict=True)]
+    if sum(sizes) != len(cells):
+        raise ValueError("a block's rows have changed between two readings of the table")
+    passed = np.concatenate([*flags, np.zeros(0, "u1")]).astype(bool)[place] if len(at) else np.zeros(0, bool)
+    return begins, at[passed], pairs[passed], more[passed]
 
 
 def _unique(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -210,18 +188,31 @@ def _text(table: pa.Table) -> pa.BinaryArray:
     return c.chunk(0) if isinstance(c, pa.ChunkedArray) else c
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, most_bits: int = MOST_BITS) -> DataFrame:
+def _counted(rows: DataFrame) -> DataFrame:
+    """Rows (id, text, n): rows of one id and text that are repeated over SAME_ROWS times are merged, in each map task before they are shuffled."""
+    mark = rows.select("id", F.xxhash64("id", "text").alias("mark"))
+    hot = mark.groupBy("id", "mark").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SAME_ROWS).select("mark").distinct()
+    hot = materialize(hot, "repeat-rows")
+    if hot.isEmpty():
+        return rows.withColumn("n", F.lit(1).cast("long"))
+    rows, hot = rows.withColumn("mark", F.xxhash64("id", "text")), few(hot)
+    merged = rows.join(hot, "mark", "left_semi").groupBy("id", "text").agg(F.count(F.lit(1)).alias("n"))
+    return rows.join(hot, "mark", "left_anti").select("id", "text", F.lit(1).cast("long").alias("n")).unionByName(merged)
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, cells: int = CELLS) -> DataFrame:
     """One row per document: id, kept (the words that stay, joined by single spaces), n_words, n_removed.
 
     A word goes if a window of `window` words that covers it also starts anywhere else, in this or another document;
     all windows are judged on the input.
 
-    1. Each window's anchor is the smallest hash of its n-grams of `gram` words. Tasks count the places of anchors in
-       count-min sketches, which are merged. The sketch has about 4 cells for each anchor, up to `most_bits` (a bitmap
-       of at most 64 MB is broadcast); beyond that it lets more windows pass, and none is ever lost.
-    2. Documents are dealt into blocks of some MB. Windows that may repeat are merged within their block and grouped
-       by 128-bit hashes over all blocks; a window in two blocks or twice in one is repeated. A block holds a window's
-       hash once, so a passage that all documents share costs one row per block.
+    1. Documents are dealt into blocks of some MB by hashes of their ids and texts. Each block counts its windows in a
+       count-min sketch of at least `cells` cells for each window of the corpus; the sketch lives in slices, to which blocks
+       send their counts and which answer with the cells that hold 2 or more. It grows with the input: nothing is
+       broadcast, and the share of unique windows that pass is the same at every size.
+    2. Windows that pass are merged within their block and grouped by 128-bit hashes over all blocks; a window in two
+       blocks or twice in one is repeated. A block holds a window's hash once, so a passage that all documents share costs
+       one row per block.
     3. Each block is told which of its windows repeat, by their places in the order of its hashes.
 
     Null texts have no words; texts shorter than a window lose nothing; copies lose all words that windows cover;
@@ -231,30 +222,35 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bounded_batches(spark)
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = int(np.clip(int(total // 16).bit_length(), 10, most_bits))
-    n_blocks = total // BLOCK_BYTES + 1
-    shared: Broadcast = spark.sparkContext.broadcast(_bitmap(_sketch(rows.select(F.col("text").cast("binary").alias("text")), bits, window, gram), bits))
-    key = F.pmod(F.xxhash64("id", F.length("text")), F.lit(n_blocks)).cast("int")
-    blocks = rows.select(key.alias("block"), "id", F.col("text").cast("binary").alias("text"))
-
-    def ask(key: tuple, table: pa.Table) -> pa.Table:
-        _, _, pairs = _candidates(_text(table), shared.value, bits, window, gram)
-        distinct, _, n = _unique(pairs)
+    # A window starts at a word, which takes two bytes at least; most words take more.
+    bits = max(10, int(total * cells // 4).bit_length())
+    key = F.pmod(F.xxhash64("id", "text"), F.lit(total // BLOCK_BYTES + 1))
+    blocks = _counted(rows).select(key.alias("block"), "id", F.col("text").cast("binary").alias("text"), "n")
+    flags = materialize(_sketch(blocks, bits, window), "repeat-flags")
+
+    def ask(block: tuple, table: pa.Table, notes: pa.Table) -> pa.Table:
+        _, _, pairs, more = _candidates(table, notes, bits, window)
+        distinct, place, n = _unique(pairs)
+        twice = n > 1
+        twice[place[more]] = True
         return pa.table({
-            "x": distinct["x"].view("i8"), "y": distinct["y"].view("i8"), "block": pa.array(np.full(len(n), key[0].as_py(), "i4")),
-            "place": pa.array(np.arange(len(n), dtype="i4")), "twice": pa.array(n > 1),
+            "x": distinct["x"].view("i8"), "y": distinct["y"].view("i8"), "block": pa.array(np.full(len(n), block[0].as_py(), "i8")),
+            "place": pa.array(np.arange(len(n), dtype="i4")), "twice": pa.array(twice),
         })
 
-    asked = blocks.groupBy("block").applyInArrow(ask, "x long, y long, block int, place int, twice boolean")
-    seen = F.count(F.lit(1)).over(_window("x", "y"))
-    told = asked.withColumn("n", seen).where("twice or n > 1").select("block", "place")
+    asked = blocks.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(ask, "x long, y long, block long, place int, twice boolean")
+    seen = F.count(F.lit(1)).over(Window.partitionBy("x", "y"))
+    told = asked.withColumn("seen", seen).where("twice or seen > 1").select("block", "place")
+    nothing = F.lit(None)
+    told = told.select("block", "place", nothing.cast("long").alias("slice"), nothing.cast("binary").alias("flags"), nothing.cast("int").alias("cells"))
+    notes = told.unionByName(flags.select("block", nothing.cast("int").alias("place"), "slice", "flags", "cells"))
 
-    def settle(key: tuple, table: pa.Table, places: pa.Table) -> pa.Table:
-        texts = _text(table)
-        begins, at, pairs = _candidates(texts, shared.value, bits, window, gram)
+    def settle(block: tuple, table: pa.Table, notes: pa.Table) -> pa.Table:
+        texts, place_of = _text(table), notes.column("place")
+        begins, at, pairs, _ = _candidates(table, notes.filter(pc.is_valid(notes.column("slice"))), bits, window)
         distinct, place, _ = _unique(pairs)
         repeated = np.zeros(len(distinct), bool)
-        repeated[places.column("place").to_numpy()] = True
+        repeated[place_of.drop_null().to_numpy()] = True
         cover = np.zeros(begins[-1] + window + 1, "i4")
         if len(at):
             gone = at[repeated[place]]
@@ -268,14 +264,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             n_kept[i] = mask.sum()
             kept.append(b" ".join(words if n_kept[i] == e - s else compress(words, mask.tolist())))
         sizes = np.diff(begins)
-        return pa.table({"id": table.column("id"), "kept": pa.array(kept, pa.binary()), "n_words": sizes, "n_removed": sizes - n_kept})
+        return pa.table({"id": table.column("id"), "kept": pa.array(kept, pa.binary()), "n_words": sizes, "n_removed": sizes - n_kept, "n": table.column("n")})
 
     kind = dict(rows.dtypes)["id"]
-    done = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(settle, f"id {kind}, kept binary, n_words long, n_removed long")
+    done = blocks.groupBy("block").cogroup(notes.groupBy("block")).applyInArrow(settle, f"id {kind}, kept binary, n_words long, n_removed long, n long")
+    done = done.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
     return done.select(F.col("id").alias(id_col), F.col("kept").cast("string").alias("kept"), "n_words", "n_removed")
-
-
-def _window(*cols: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*cols)

@@ -169,14 +169,59 @@ def brute_repeats(rows, window):
     return Counter(out)
 
 
-@pytest.mark.parametrize(("window", "gram", "bits"), [(35, 8, 28), (6, 3, 28), (6, 3, 10), (4, 4, 12)])
-def test_repeats(odd, odd_rows, monkeypatch, window, gram, bits):
-    """Small blocks put passages into many blocks; small sketches let everything pass."""
+@pytest.mark.parametrize(("window", "cells"), [(35, 8), (6, 8), (6, 1), (4, 64)])
+def test_repeats(odd, odd_rows, monkeypatch, window, cells):
+    """Small blocks put passages into many blocks; small sketches let more pass, and small slices make many of them."""
     monkeypatch.setattr(substring, "BLOCK_BYTES", 20_000)
-    got = Counter(tuple(r) for r in substring.remove_repeats(odd, window=window, gram=gram, most_bits=bits).select("doc_id", "kept", "n_words", "n_removed").collect())
+    monkeypatch.setattr(substring, "SLICE_BITS", 12)
+    monkeypatch.setattr(substring, "SAME_ROWS", 1)
+    got = Counter(tuple(r) for r in substring.remove_repeats(odd, window=window, cells=cells).select("doc_id", "kept", "n_words", "n_removed").collect())
     assert got == brute_repeats(odd_rows, window)
 
 
+def test_many_rows_of_one_id_and_text(spark, words):
+    rng = random.Random(11)
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(1, text(80), "en", "a")] * 40 + [(None, text(70), "en", "a")] * 30 + [(2, text(90), "en", "a"), (None, text(20), "en", "a")]
+    got = Counter(tuple(r) for r in substring.remove_repeats(make(spark, rows)).select("doc_id", "kept", "n_words", "n_removed").collect())
+    assert got == brute_repeats(rows, 35)
+
+
+def test_sketch_overestimates_window_counts(spark, words):
+    """Every window that stands at two places passes; of unique ones few do, whatever the size."""
+    import pyarrow as pa
+
+    rng = random.Random(13)
+    texts = [" ".join(rng.choice(words) for _ in range(400)) for _ in range(40)]
+    texts[7] = texts[3][:900] + " " + texts[7]
+    bits = 17
+    rows = spark.createDataFrame([(i % 4, i, t.encode(), 1) for i, t in enumerate(texts)], "block long, id long, text binary, n long")
+    flags = substring._sketch(rows, bits, 35).toArrow()
+    table = rows.toArrow()
+    count, passed, unique = Counter(), {}, 0
+    for b in range(4):
+        own = table.filter(pa.compute.equal(table.column("block"), b)).combine_chunks()
+        _, _, pairs = substring._windows(substring._text(own), 35)
+        count.update(map(tuple, pairs.tolist()))
+        _, at, kept, _ = substring._candidates(own, flags.filter(pa.compute.equal(flags.column("block"), b)), bits, 35)
+        for p in map(tuple, kept.tolist()):
+            passed[p] = passed.get(p, 0) + 1
+    assert all(passed.get(p) == n for p, n in count.items() if n > 1) and any(n > 1 for n in count.values())
+    unique = [p for p, n in count.items() if n == 1]
+    assert 0 < sum(p in passed for p in unique) < 0.25 * len(unique)
+
+
+def test_coded_cells():
+    rng = np.random.default_rng(4)
+    for n, top in ((0, 9), (1, 1 << 22), (50, 1 << 22), (3000, 1 << 22), (4000, 4096)):
+        cells = np.sort(rng.choice(top, n, replace=False)).astype("i8")
+        twice = rng.random(n) < 0.5
+        import pyarrow as pa
+
+        back, flags = substring._decoded(pa.py_buffer(substring._coded(cells, twice)))
+        assert back.tolist() == cells.tolist() and flags.tolist() == twice.tolist()
+
+
 def test_repeats_across_and_within(spark, words):
     rng = random.Random(8)
     passage = [rng.choice(words) for _ in range(60)]
@@ -192,9 +237,3 @@ def test_repeats_across_and_within(spark, words):
 
 def test_repeats_on_nothing(empty):
     assert substring.remove_repeats(empty).count() == 0
-
-
-def test_sliding_extremes():
-    x = np.random.default_rng(1).integers(0, 1000, 57).astype("u8")
-    for width in (1, 2, 5, 28):
-        assert substring._slide(x, width, np.minimum).tolist() == [min(x[i : i + width]) for i in range(len(x) - width + 1)]
