@@ -52,15 +52,39 @@ WITH d AS (
     SELECT *, CASE WHEN capped THEN cap::DOUBLE
               ELSE (total - coalesce(sum(cap) FILTER (capped) OVER (), 0))::DOUBLE / (sum(weight) FILTER (NOT capped) OVER ()) * weight END AS target
     FROM c
+), p AS (  -- blocks of one reading, and the slots that a source needs
+    SELECT *, floor(target)::BIGINT AS take, greatest(1, ceil(source_size / greatest(1, round(source_size / 4096))))::BIGINT AS block FROM t
+), q AS (
+    SELECT *, ceil(source_size / block)::BIGINT AS blocks, CASE WHEN source_size > 0 THEN take // source_size ELSE 0 END AS whole,
+           take - CASE WHEN source_size > 0 THEN take // source_size ELSE 0 END * source_size AS rest FROM p
+), r AS (
+    SELECT *, (whole * blocks + ceil(rest / block))::BIGINT AS slots FROM q
+), z AS (  -- shares of the unit interval
+    SELECT *, sum(slots) OVER () AS every, (sum(slots) OVER (ORDER BY source NULLS LAST)) / (sum(slots) OVER ())::DOUBLE AS hi,
+           (sum(slots) OVER (ORDER BY source NULLS LAST) - slots) / (sum(slots) OVER ())::DOUBLE AS lo FROM r
+), pt AS (
+    SELECT i AS position, ((i + 1) * 0.6180339887498949::DOUBLE) % 1.0::DOUBLE AS u FROM range((SELECT coalesce(sum(slots), 0)::BIGINT FROM r)) x(i)
+), got AS (
+    SELECT position, source, row_number() OVER (PARTITION BY source ORDER BY position) - 1 AS rank FROM pt JOIN z ON lo <= u AND u < hi AND slots > 0
+), had AS (
+    SELECT z.source, z.slots, z.every, count(got.position) AS had FROM z LEFT JOIN got ON z.source IS NOT DISTINCT FROM got.source GROUP BY ALL
+), slot AS (
+    SELECT got.* FROM got JOIN z ON z.source IS NOT DISTINCT FROM got.source WHERE rank < slots
+    UNION ALL SELECT (every + rank)::BIGINT, source, rank FROM (SELECT source, every, unnest(range(had, slots)) AS rank FROM had WHERE slots > had)
+), span AS (
+    SELECT slot.position, z.source, (rank % blocks) * block AS s_lo,
+           least((rank % blocks + 1) * block, CASE WHEN rank // blocks < whole THEN source_size ELSE rest END) AS s_hi
+    FROM slot JOIN z ON z.source IS NOT DISTINCT FROM slot.source
 ), o AS (
-    SELECT d.doc_id, d.size, t.source_size, t.target, floor(t.target)::BIGINT AS take,
+    SELECT d.doc_id, d.source, d.size, t.source_size, t.target, floor(t.target)::BIGINT AS take,
            (coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(d.doc_id::VARCHAR), d.doc_id, d.size
                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS off
     FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target,
        CASE WHEN size = 0 THEN 0
-            ELSE (take // source_size) * size + greatest(0, least(size, take % source_size - off)) END::BIGINT AS taken
+            ELSE (take // source_size) * size + greatest(0, least(size, take % source_size - off)) END::BIGINT AS taken,
+       (SELECT min(position) FROM span WHERE span.source IS NOT DISTINCT FROM o.source AND span.s_lo < o.off + o.size AND span.s_hi > o.off AND o.size > 0) AS first_slot
 FROM o
 """
 
@@ -166,18 +190,23 @@ def op1_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     spoilt = F.when(h == 0, F.overlay(F.coalesce("html", F.lit("")), F.lit("�"), F.lit(3), F.lit(1))).otherwise(F.col("html"))
     replica = pages.where(h != 1).select("page_id", "url", spoilt.alias("html"))
     added = pages.where(h == 2).select((-F.col("page_id") - 1).alias("page_id"), "url", "html")
-    return merkle.audit(pages, replica.unionByName(added)).select("page_id", "status", "range_start", "range_end")
+    return merkle.audit(pages, replica.unionByName(added)).select("page_id", "status", "offset", "range_start", "range_end")
 
 
 QUERIES["op1_fixity_audit"] = op1_fixity_audit
 ORACLE["op1_fixity_audit"] = r"""
 WITH p AS (
-    SELECT page_id, ('0x' || substr(md5(page_id::VARCHAR), 1, 8))::BIGINT % 97 AS h FROM pages
+    SELECT page_id, ('0x' || substr(md5(page_id::VARCHAR), 1, 8))::BIGINT % 97 AS h,
+           -- WARC/1.1 and WARC-Type: resource, each with a line end; the line between; two line ends
+           10 + 21 + coalesce(strlen('WARC-Target-URI: ' || url) + 2, 0) + coalesce(length('Content-Length: ' || strlen(html)) + 2, 0) + 2 + coalesce(strlen(html), 0) + 4 AS bytes
+    FROM pages
 ), d AS (
-    SELECT page_id, CASE h WHEN 0 THEN 'altered' ELSE 'missing' END AS status FROM p WHERE h IN (0, 1)
-    UNION ALL SELECT -page_id - 1, 'extra' FROM p WHERE h = 2
+    SELECT page_id, CASE h WHEN 0 THEN 'altered' WHEN 1 THEN 'missing' END AS status, bytes, bytes AS room FROM p
+    UNION ALL SELECT -page_id - 1, 'extra', 0, bytes FROM p WHERE h = 2
+), o AS (
+    SELECT page_id, status, (sum(bytes) OVER w - bytes)::BIGINT AS "offset", (sum(room) OVER w - room)::BIGINT AS pos FROM d WINDOW w AS (ORDER BY page_id)
 )
-SELECT page_id, status, floor(page_id / 64.0)::BIGINT * 64 AS range_start, floor(page_id / 64.0)::BIGINT * 64 + 64 AS range_end FROM d
+SELECT page_id, status, "offset", (pos >> 16) << 16 AS range_start, ((pos >> 16) << 16) + 65536 AS range_end FROM o WHERE status IS NOT NULL
 """
 
 #: The planted list: days after this one.

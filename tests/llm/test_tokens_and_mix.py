@@ -145,6 +145,82 @@ def test_schedule_spreads_sources(spark, words):
             assert abs(sum(p < cut for p, _ in own) - cut * slots / n) <= 4
 
 
+def brute_schedule(slots):
+    """(position, key) in order, from the slots of each key: golden-ratio points through the keys' shares of [0, 1)."""
+    n, at, low = sum(slots.values()), [], 0
+    for key, own in slots.items():
+        at.append((low / n, (low + own) / n, key))
+        low += own
+    had, out = defaultdict(int), []
+    for p in range(n):
+        u = (p + 1) * 0.6180339887498949 % 1.0
+        key = next(k for lo, hi, k in at if lo <= u < hi)
+        if had[key] < slots[key]:
+            out.append((p, key))
+        had[key] += 1
+    return out + [(n + r, k) for k in slots for r in range(had[k], slots[k])]
+
+
+def test_slots_of_documents_are_those_of_the_schedule(spark, words):
+    """first_slot is the golden-ratio slot that reads the document's first words: a plain sequence in its place fails."""
+    rng = random.Random(15)
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 40))), "en", "abcd"[i % 4]) for i in range(200)]
+    _, target = brute_targets(rows)
+    size, block, slots, of = {}, {}, {}, {}
+    for s in "abcd":
+        own = sorted((hashlib.md5(str(i).encode()).hexdigest(), i, n) for (i, _, _, x), n in zip(rows, sizes_of(rows), strict=True) if x == s)
+        size[s] = sum(n for *_, n in own)
+        block[s] = -(-size[s] // max(1, int(size[s] / 16 + 0.5)))
+        take, off = int(target[s]), 0
+        slots[s] = take // size[s] * -(-size[s] // block[s]) + -(-(take % size[s]) // block[s])
+        for _, i, n in own:
+            of[i] = (s, off, n, take)
+            off += n
+    by_rank, at = {}, defaultdict(int)
+    for p, s in brute_schedule(slots):
+        by_rank[s, at[s]] = p
+        at[s] += 1
+    want = {}
+    for i, (s, off, n, take) in of.items():
+        blocks, found = -(-size[s] // block[s]), []
+        for r in range(slots[s]):
+            lo = r % blocks * block[s]
+            hi = min(lo + block[s], size[s] if r // blocks < take // size[s] else take % size[s])
+            if lo < off + n and hi > off:
+                found.append(by_rank[s, r])
+        want[i] = min(found, default=None)
+    got = {r.doc_id: r.first_slot for r in mixing.mix(make(spark, rows), block_words=16).collect()}
+    assert got == want
+
+
+def test_any_stretch_of_the_mix_holds_the_shares(spark, words):
+    rng = random.Random(16)
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 12))), "en", "abcde"[i * i % 5]) for i in range(900)]
+    _, target = brute_targets(rows)
+    out = mixing.mixture(make(spark, rows), block_words=32, slot_col="slot").collect()
+    slots = [r.slot for r in out]
+    assert slots == sorted(slots) and len(set(slots)) > 50
+    total = sum(target.values())
+    for cut in (0.1, 0.25, 0.5, 0.8):
+        had, read = defaultdict(int), 0
+        for r in out:
+            if read >= cut * total:
+                break
+            had[r.source] += len(r.text.split())
+            read += len(r.text.split())
+        assert all(abs(had[s] - read * target[s] / total) < 6 * 32 for s in target), (cut, had)
+
+
+def test_many_equal_rows_without_id(spark):
+    rows = [(None, "one two three", "en", "a")] * 2500 + [(i, "four five", "en", "b") for i in range(300)]
+    got = mixing.mix(make(spark, rows), block_words=64).collect()
+    _, target = brute_targets(rows)
+    taken = Counter()
+    for r in got:
+        taken[r.source_size] += r.taken
+    assert len(got) == 2800 and taken[7500] == int(target["a"]) and taken[600] == int(target["b"])
+
+
 def test_mixture_copies(odd, odd_rows):
     took = {}
     for r in mixing.mix(odd, block_words=32).collect():
