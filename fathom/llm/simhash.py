@@ -151,15 +151,18 @@ def links(classes: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataF
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """One row per document: id, fingerprint (16 hex digits), component_id (smallest id reachable, itself included).
 
-    Documents with the same fingerprint are one class; links are sought between classes. Null, empty and blank texts
-    have fingerprint zero and link like any other; rows whose id is null have no component of their own and take that
-    of their class; an empty table gives no rows; repeated rows share a class. Other columns are ignored.
+    Documents with the same fingerprint are one class; links are sought between classes, also those whose documents have
+    no id. Null, empty and blank texts have fingerprint zero and link like any other; rows whose id is null take the
+    component of their class, null if no id is reachable; an empty table gives no rows; repeated rows share a class.
+    Other columns are ignored.
     """
     fps = materialize(fingerprints(docs, id_col, text_col, words), "simhash")
-    classes = materialize(fps.groupBy("fp").agg(F.min("id").alias("rep")), "simhash-classes")
-    found = links(classes.where("rep is not null"), radius, block)
-    comp = connected_components(found).select(F.col("node").alias("rep"), "component")
-    classes = classes.join(comp, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    classes = materialize(fps.groupBy("fp").agg(F.min("id").alias("low")), "simhash-classes")
+    found = links(classes.select("fp", F.col("fp").alias("rep")), radius, block)
+    comp = materialize(connected_components(found).select(F.col("node").alias("fp"), "component"), "simhash-components")
+    lows = comp.join(classes, "fp").groupBy("component").agg(F.min("low").alias("lowest"))
+    classes = classes.join(comp, "fp", "left").join(lows, "component", "left").select("fp", F.coalesce("lowest", "low").alias("component_id"))
+    classes = materialize(classes, "simhash-told")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return fps.join(classes, "fp").select(F.col("id").alias(id_col), hexed.alias("fingerprint"), "component_id")
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 #: Days of a time bucket: captures meet only intervals that touch their bucket.
 BUCKET_DAYS = 32
-#: Longer strings are not host names and are looked up whole only.
+#: Characters of the longest host name, which has room for half as many labels: longer strings match by themselves and by their
+#: ends of this length.
 MOST_HOST = 253
 _DAY = 86400
 
@@ -22,8 +23,10 @@ def host(url: Column) -> Column:
 def lookups(name: Column) -> Column:
     """The host and its parent domains, by labels."""
     labels = F.split(name, r"\.")
-    up = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    return F.when(F.length(name) <= MOST_HOST, up).otherwise(F.array(name))
+    most = MOST_HOST // 2 + 1
+    tail = F.slice(labels, F.greatest(F.lit(1), F.size(labels) - (most - 1)), F.lit(most))
+    up = F.transform(F.sequence(F.lit(1), F.size(tail)), lambda i: F.array_join(F.slice(tail, i, F.size(tail)), "."))
+    return F.array_union(F.array(name), F.filter(up, lambda d: F.length(d) <= MOST_HOST))
 
 
 def validity(entries: DataFrame) -> DataFrame:
