@@ -11,12 +11,12 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.runtime import bounded_batches, row_key, text_or_empty
+from fathom.llm.runtime import bounded_batches, few, materialize, row_key, text_or_empty
 
 #: Bytes of a window, filter widths, filters of each width, and size of a byte's vector.
 WINDOW, WIDTHS, FILTERS, BYTE_DIMS = 256, (2, 3, 4), 12, 8
-#: Training: documents drawn (about, over all languages alike), characters taken of each, rounds, languages at most.
-SAMPLE_DOCS, SAMPLE_CHARS, ROUNDS, MOST_LANGUAGES = 2400, 1000, 4, 64
+#: Training: documents drawn (about, over all languages alike), but no fewer of a language that has them; characters taken of each, rounds.
+SAMPLE_DOCS, LEAST_DOCS, SAMPLE_CHARS, ROUNDS = 2400, 16, 1000, 4
 #: Bytes that are convolved at once, and bytes of text that are windowed at once.
 _STEP, _HELD = 1 << 14, 4 << 20
 UNKNOWN = "und"
@@ -127,20 +127,21 @@ def held_out(id_col: str = "doc_id") -> Column:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> ByteNet | None:
     """A network trained on about `sample_docs` documents with a language that are not held out; None if there are none.
 
-    Each language gives about as many documents, chosen by a hash of the id; of each, up to SAMPLE_CHARS characters from
-    a place chosen by another hash. Windows are trained whole and cut short, so short texts are known too. Rows without
-    an id are drawn by their texts, and equal rows count once, so no id gives more than its own texts.
+    Every label value is learned, however many there are. Each gives about as many documents, LEAST_DOCS or more if it has
+    them, chosen by a hash of the id; of each, up to SAMPLE_CHARS characters from a place chosen by another hash. So what
+    reaches the driver is bounded by sample_docs and the number of labels, not by the corpus. Windows are trained whole and
+    cut short, so short texts are known too. Rows without an id are drawn by their texts, and equal rows count once, so no
+    id gives more than its own texts.
     """
     d = docs.select(F.col(id_col).alias("id"), row_key(docs, id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     d = d.where(F.col("lang").isNotNull() & ~held_out("id"))
-    counts = d.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
-    if not counts:
+    counts = materialize(d.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    languages = sorted(r["lang"] for r in counts.select("lang").collect())
+    if not languages:
         return None
-    languages = sorted(r["lang"] for r in counts)
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], F.lit(sample_docs / len(counts) / r["n"])).otherwise(share)
-    chosen = d.where(F.pmod(F.xxhash64("key", F.lit("sample")), F.lit(1 << 20)) < share * (1 << 20))
+    quota = max(LEAST_DOCS, sample_docs / len(languages))
+    drawn = F.pmod(F.xxhash64("key", F.lit("sample")), F.lit(1 << 40))
+    chosen = d.join(few(counts), "lang").where(drawn < F.lit(quota) / F.col("n") * (1 << 40))
     place = F.pmod(F.xxhash64("key", F.lit("place")), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(1))).cast("int")
     parts = chosen.where("text is not null").select("key", "lang", F.substring("text", place + 1, F.lit(SAMPLE_CHARS)).alias("text"))
     got = parts.distinct().select("lang", "text").collect()
@@ -201,15 +202,15 @@ def identify(docs: DataFrame, net: ByteNet | None, id_col: str = "doc_id", text_
 def known_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The documents, with all their columns, of which a language could be told; rejects those predicted `und`.
 
-    Rows pass through the network and are filtered there, so nothing is shuffled.
+    Only texts pass through the network, and a flag comes back; rows are filtered where they are and nothing is shuffled.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    model, at = spark.sparkContext.broadcast(train(docs, id_col, text_col, lang_col)), docs.columns.index(text_col)
+    model = spark.sparkContext.broadcast(train(docs, id_col, text_col, lang_col))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs, _ = _judge(model.value, batch.column(at))
-            yield batch.filter(pa.array([x != UNKNOWN for x in langs], pa.bool_()))
+    @F.arrow_udf("boolean")
+    def known(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([x != UNKNOWN for x in _judge(model.value, texts)[0]], pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(known(text_or_empty(text_col)))

@@ -54,6 +54,48 @@ def test_odd_texts(odd, odd_rows, empty):
     assert {r.lang_pred for r in langid.identify(odd, None).collect()} == {"und"}
 
 
+def brute_forward(net, text):
+    """The network by its definition, one filter and one place at a time, in double precision."""
+    data = text.encode()
+    total, weight = np.zeros(len(net.languages)), 0
+    for at in range(0, len(data), langid.WINDOW):
+        window = data[at : at + langid.WINDOW]
+        padded = window + bytes(langid.WINDOW - len(window))
+        hidden = []
+        for f in range(len(net.filters)):
+            wide = langid.WIDTHS[f // langid.FILTERS]
+            best = max(
+                sum(float(net.vectors[d, padded[p + k]]) * float(net.filters[f, k * langid.BYTE_DIMS + d]) for k in range(wide) for d in range(langid.BYTE_DIMS))
+                for p in range(langid.WINDOW - max(langid.WIDTHS) + 1)
+            )
+            hidden.append(max(0.0, best + float(net.bias[f])))
+        total += (np.array(hidden) @ net.out.astype("f8") + net.out_bias) * len(window)
+        weight += len(window)
+    z = np.exp(total / weight - (total / weight).max())
+    return dict(zip(net.languages, (z / z.sum()).tolist(), strict=True))
+
+
+def test_predictions_are_those_of_the_network(spark, tongues):
+    docs, rows, _ = tongues
+    net = langid.train(docs)
+    texts = [rows[0][1], "a", "ü ß quéau", rows[1][1] * 3, "the ough " + "x" * 300]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(make(spark, [(i, t, None, None) for i, t in enumerate(texts)]), net).collect()}
+    for i, t in enumerate(texts):
+        p = brute_forward(net, t)
+        lang, score = got[i]
+        assert score == pytest.approx(p[lang], abs=1e-3) and p[lang] >= max(p.values()) - 1e-3, (t, got[i], p)
+
+
+def test_every_language_is_learned(spark):
+    rng = random.Random(9)
+    rows = []
+    for k in range(90):
+        letters = [chr(0x4E00 + 40 * k + j) for j in range(12)]
+        rows += [(1000 * k + i, "".join(rng.choice(letters) for _ in range(60)), f"l{k:02}", "s") for i in range(6)]
+    net = langid.train(make(spark, rows), sample_docs=90)
+    assert net.languages == sorted({lang for i, _, lang, _ in rows if zlib.crc32(str(i).encode()) % 4 != 2}) and len(net.languages) > 80
+
+
 def test_all_of_a_text_counts(spark):
     net = langid.ByteNet.fresh(["a", "b"])
     head = b"x" * 1000
