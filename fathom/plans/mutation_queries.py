@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.model import Collection, Field
-from fathom.operators import filters, mutations
+from fathom.operators import embedding, filters, mutations
 from fathom.operators.filters import Filter, Match, Range
 from fathom.plans.registry import query, table
+from fathom.service import Engine
 from fathom.sources import scratch
 from fathom.sources.store import Store
 from fathom.streaming import usage as streaming
@@ -63,6 +66,17 @@ def collections_page(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(c.name, c.created_at - 1) for c in store.list("c9", 5)], "name string, created_at long")
 
 
+@query("collection_metadata", "SELECT n_name AS name, 'text' AS type, 'region:tag,size:numeric' AS fields, 8 + n_nationkey AS vector_dim, 1 AS revision FROM nation WHERE NOT contains(n_name, ' ')")
+def collection_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """A collection for each nation with a name of one word: created, and read back from its stored description."""
+    store, made = Store(spark, scratch.new_folder(spark, "catalog")), []
+    for r in table(spark, d, "nation").select("n_nationkey", "n_name").where("not contains(n_name, ' ')").collect():
+        store.ensure(Collection(r.n_name, (Field("region", "tag"), Field("size", "numeric")), 8 + r.n_nationkey))
+        c = store.get(r.n_name)
+        made.append((c.name, c.type, ",".join(f"{f.name}:{f.kind}" for f in c.fields), c.vector_dim, c.revision))
+    return spark.createDataFrame(made, "name string, type string, fields string, vector_dim int, revision int")
+
+
 @query("count_filtered", "SELECT count(*) AS n FROM part WHERE p_size >= 10 AND p_size < 30 AND (p_brand = 'Brand#1' OR p_retailprice > 1000) AND NOT p_type = 'x'")
 def count_filtered(spark: SparkSession, d: str) -> DataFrame:
     spec = Filter.parse({
@@ -189,3 +203,27 @@ def batch_validate_status(spark: SparkSession, d: str) -> DataFrame:
 @query("batch_summary", _DRAFT_SQL + " SELECT count(*) FILTER (error_code IS NULL) AS succeeded, count(*) FILTER (error_code IS NOT NULL) AS failed FROM s")
 def batch_summary(spark: SparkSession, d: str) -> DataFrame:
     return mutations.summary(mutations.validate(_drafts(spark, d), _PAGES)[1])
+
+
+def _engine(spark: SparkSession, label: str) -> Engine:
+    engine = Engine(Store(spark, f"{scratch.new_folder(spark, label)}/store"), embedding.stub(8), clock=lambda: datetime(2024, 1, 17, 12))
+    engine.create_collection(Collection("parts", _PAGES.fields, 8))
+    return engine
+
+
+@query("engine_batch", _DRAFT_SQL + " SELECT id, CASE WHEN error_code IS NULL THEN 'ok' ELSE 'error' END AS status, error_code FROM s")
+def engine_batch(spark: SparkSession, d: str) -> DataFrame:
+    """The same batch through the whole service: validated, embedded, stored."""
+    return _engine(spark, "engine-batch").batch_upsert("parts", _drafts(spark, d)).select("id", "status", "error_code")
+
+
+_SOUND = "p_partkey % 7 <> 0 AND p_partkey % 5 <> 0 AND p_partkey % 3 <> 0 AND p_partkey % 11 <> 0"
+
+
+@query("engine_usage", f"SELECT 'day' AS period, sum(floor(length(p_name) / 4))::BIGINT AS tokens, (SELECT count(*) FROM part WHERE {_SOUND}) AS documents FROM (SELECT DISTINCT p_name FROM part WHERE {_SOUND})")
+def engine_usage(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens counted after a batch was stored twice: each text is paid for once."""
+    engine = _engine(spark, "engine-usage")
+    for _ in range(2):
+        engine.batch_upsert("parts", _drafts(spark, d))
+    return spark.createDataFrame([("day", engine.usage("day")["tokens"], engine.count("parts"))], "period string, tokens long, documents long")

@@ -61,6 +61,13 @@ def knn_filtered_should_mustnot(spark: SparkSession, d: str) -> DataFrame:
     return _knn(df, filters.apply(df, spec))
 
 
+@query("empty_filter", _knn_sql())
+def empty_filter(spark: SparkSession, d: str) -> DataFrame:
+    """A filter without conditions keeps every row."""
+    df = _vectors(spark, d)
+    return _knn(df, filters.apply(df, Filter.parse({"must": [], "should": [], "must_not": []})))
+
+
 @query("knn_range", _knn_sql("label > 4"))
 def knn_range(spark: SparkSession, d: str) -> DataFrame:
     df = _vectors(spark, d)
@@ -317,6 +324,12 @@ def hybrid_chunked_docs(spark: SparkSession, d: str) -> DataFrame:
     return hits.select("id", F.round("score", 9).alias("score"), "chunk_id")
 
 
+@query("fluent_builder", _branches(100, "role = 'user'") + _KW + _AGG.format(k=10, where="", limit=5))
+def fluent_builder(spark: SparkSession, d: str) -> DataFrame:
+    hits = chunk_collection(spark, d).query("the and").mode("keyword").where("role", "user").top_k(10).limit(5).do().hits
+    return hits.select("id", F.round("score", 9).alias("score"), "chunk_id")
+
+
 @query("min_score_total", _branches(100) + _SEM + _AGG.format(k=20, where="WHERE score >= 0.4", limit=100).replace("SELECT id, round(score, 9) AS score, chunk_id FROM top", "SELECT count(*) AS total FROM top").split("ORDER BY top.score")[0])
 def min_score_total(spark: SparkSession, d: str) -> DataFrame:
     found = chunk_collection(spark, d).search(SearchRequest("the and", Mode.SEMANTIC, top_k=20, min_score=0.4, limit=5))
