@@ -8,12 +8,18 @@ from pyspark.sql import functions as F
 from fathom.llm.runtime import materialize
 
 
+def _to_smallest(both: DataFrame, low: DataFrame) -> DataFrame:
+    """Links from each node's larger neighbours to the smallest one; two tables meet, so a hub's rows can be split."""
+    return both.join(low, "u").where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Rows (node, component) for every node of a link that joins two different nodes; component is the smallest node reachable.
 
     Each round moves every node's links to its smallest neighbour (first for larger, then for smaller neighbours),
     until each component is a star around its smallest node; rounds grow with the logarithm of the longest chain.
-    Links are never gathered: a round is two aggregations with partial sums and two joins whose hot keys Spark splits.
+    Links are never gathered: a round is two aggregations with partial results, which are written, and two joins of
+    plain tables, so that Spark can split the links of a hub that many nodes share.
     Null nodes are ignored; no links give no rows.
     """
     links = (
@@ -29,10 +35,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             break
         before = sign
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(low, "u").where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialize(large, "large-star")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = materialize(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "large-low")
+        large = materialize(_to_smallest(both, low).distinct(), "large-star")
+        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "small-low")
         small = (
             large.join(low, "u")
             .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))

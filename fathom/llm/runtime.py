@@ -2,38 +2,40 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Documents in one Arrow batch; a batch of average documents stays at a few MB.
-BATCH_ROWS = 1000
-BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+from fathom.sources.scratch import shared_dir
+
+#: Documents, and bytes, that one Arrow batch holds at most, but for single longer documents.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+BATCH_CONF, BYTES_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+#: With this setting a query's shuffle files go when it ends, not when the driver happens to collect its garbage.
+CLEANUP_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Keys that are broadcast at most, after they were counted; more are joined by a shuffle.
+FEW_KEYS = 500_000
 
 #: The white space that ends a word: the byte 0x20 and the bytes 0x09 to 0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; a local one only where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="fathom-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df once into the shared folder and read it back: cuts lineage and survives lost executors.
 
-    The files go when the session's file system closes.
+    Shuffle files behind it are not needed any more and go at once; the table's own go when the session's file system closes.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/fathom-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP_CONF)
+    spark.conf.set(CLEANUP_CONF, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP_CONF, before)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
@@ -44,6 +46,19 @@ def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Keep Arrow batches small enough for batches of long documents."""
     if int(spark.conf.get(BATCH_CONF)) > rows:
         spark.conf.set(BATCH_CONF, str(rows))
+    if _bytes(spark.conf.get(BYTES_CONF)) > BATCH_BYTES:
+        spark.conf.set(BYTES_CONF, str(BATCH_BYTES))
+
+
+def _bytes(size: str) -> int:
+    """Bytes of a size as Spark writes it; the unbounded -1 counts as more than any."""
+    number, unit = re.fullmatch(r"(-?\d+)\s*([kmgt]?)b?", size.strip().lower()).groups()
+    return 1 << 62 if int(number) < 0 else int(number) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit]
+
+
+def few(keys: DataFrame) -> DataFrame:
+    """Written keys for a join: marked for broadcast if they were counted and are FEW_KEYS at most, else as they are."""
+    return F.broadcast(keys) if keys.count() <= FEW_KEYS else keys
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
