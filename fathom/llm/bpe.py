@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -14,10 +15,9 @@ from pyspark.sql import functions as F
 
 from fathom.llm.runtime import bounded_batches, text_or_empty
 
-#: Distinct pieces whose ids a worker remembers before it starts anew.
-REMEMBERED = 400_000
-#: Pairs of tokens of which a worker remembers whether they may be neighbours.
-REMEMBERED_PAIRS = 1_000_000
+#: What a worker remembers, about 130 bytes each: ids of pieces, of which the older half goes when there are more; pairs of
+#: tokens that may be neighbours or not; and histories of tokens' borders.
+REMEMBERED, REMEMBERED_PAIRS, REMEMBERED_CHAINS = 300_000, 300_000, 30_000
 
 
 class Vocabulary:
@@ -39,15 +39,14 @@ class Vocabulary:
         self._chains: dict[tuple[int, int], list[tuple[int, bytes]]] = {}
         #: Whether two tokens may stand beside each other, by left << 32 | right, as far as was asked.
         self.known: dict[int, bool] = {}
-        #: The tokens that merging makes, as a tree of bytes: each node maps the next byte to a node, and -1 to the token
-        #: that ends there. Other tokens can never end a prefix.
-        self.tree: dict[int, dict] = {}
+        #: Finds the tokens that merging makes wherever they end, longest first (texts as one character per byte); a found
+        #: token comes as token << shift | length. Other tokens can never end a prefix.
+        self.shift = self.longest.bit_length()
+        self.ends = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for data, token in ranks.items():
             if self.reachable(token):
-                node = self.tree
-                for byte in data:
-                    node = node.setdefault(byte, {})
-                node[-1] = token
+                self.ends.add_word(data.decode("latin-1"), token << self.shift | len(data))
+        self.ends.make_automaton()
 
     @classmethod
     def read(cls, path: str) -> Vocabulary:
@@ -111,6 +110,8 @@ class Vocabulary:
         """The token, its half on that side, the half's half, down to a byte."""
         chain = self._chains.get((token, side))
         if chain is None:
+            if len(self._chains) >= REMEMBERED_CHAINS:
+                self._chains.clear()
             chain = [(token, self.bytes_of[token])]
             while len(chain[-1][1]) > 1:
                 half = self.halves(chain[-1][0])[side]
@@ -130,24 +131,22 @@ class PrefixEncoder:
         """Add bytes at the end; the tokens of all former prefixes stay as they are."""
         v, last, old = self.v, self.last, len(self.data)
         self.data += more
-        data, tree, known, beside = self.data, v.tree, v.known.get, v.beside
-        n = len(data)
-        last += [None] * (n - old)
-        for begin in range(max(0, old - v.longest), n):
-            before, node = last[begin], tree
-            for end in range(begin, n):
-                node = node.get(data[end])
-                if node is None:
-                    break
-                # Of the tokens that may end a prefix only one fits behind the token before it, so the first found is it.
-                if last[end + 1] is None and (token := node.get(-1)) is not None:
-                    if before >= 0:
-                        fits = known(before << 32 | token)
-                        if fits is None:
-                            fits = beside(before, token)
-                        if not fits:
-                            continue
-                    last[end + 1] = token
+        known, beside, shift, size = v.known.get, v.beside, v.shift, (1 << v.shift) - 1
+        last += [None] * len(more)
+        begin = max(0, old - v.longest)
+        for end, found in v.ends.iter(self.data[begin:].decode("latin-1")):
+            end += begin + 1
+            # Of the tokens that may end a prefix only one fits behind the token before it, so the first found is it.
+            if last[end] is None:
+                before = last[end - (found & size)]
+                found >>= shift
+                if before >= 0:
+                    fits = known(before << 32 | found)
+                    if fits is None:
+                        fits = beside(before, found)
+                    if not fits:
+                        continue
+                last[end] = found
 
     def edit(self, at: int, removed: int, added: bytes) -> None:
         """Replace data[at:at + removed]; only prefixes that end behind `at` are computed anew, up to where the old tokens meet again."""
@@ -180,14 +179,17 @@ class _Pieces(dict):
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
-        self.v = vocabulary
+        self.v, self.older = vocabulary, {}
 
     def __missing__(self, piece: str) -> bytes:
-        data = piece.encode()
-        whole = self.v.ranks.get(data)
-        ids = [whole] if whole is not None else PrefixEncoder(self.v, data).ids()
-        out = np.array(ids, dtype="<i4").tobytes()
-        if len(self) >= REMEMBERED:
+        out = self.older.get(piece)
+        if out is None:
+            data = piece.encode()
+            whole = self.v.ranks.get(data)
+            ids = [whole] if whole is not None else PrefixEncoder(self.v, data).ids()
+            out = np.array(ids, dtype="<i4").tobytes()
+        if len(self) >= REMEMBERED // 2:
+            self.older = dict(self)
             self.clear()
         if len(piece) <= 64:
             self[piece] = out
@@ -219,19 +221,32 @@ def plain_pattern(pattern: str) -> re.Pattern | None:
         return None
 
 
-class Tokenizer:
+class Decoder:
+    """Ids to bytes, from two arrays."""
+
+    def __init__(self, bytes_of: dict[int, bytes]):
+        top = max(bytes_of) + 1
+        self.sizes = np.array([len(bytes_of.get(k, b"")) for k in range(top)], "i8")
+        self.begins = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
+        self.flat = np.frombuffer(b"".join(bytes_of.get(k, b"") for k in range(top)), "u1")
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        if not len(ids):
+            return b""
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.begins[ids] - (ends - sizes), sizes)
+        return self.flat[at + np.arange(ends[-1])].tobytes()
+
+
+class Tokenizer(Decoder):
     """Text to ids and back: each match of `pattern` is encoded by itself, without special tokens."""
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
+        super().__init__(vocabulary.bytes_of)
         self.v, self.split_any, self.pieces = vocabulary, regex.compile(pattern).findall, _Pieces(vocabulary)
         plain = plain_pattern(pattern)
         self.split_plain = plain.findall if plain else None
-        top = max(vocabulary.bytes_of) + 1
-        sizes = np.zeros(top, "i8")
-        for k, b in vocabulary.bytes_of.items():
-            sizes[k] = len(b)
-        self.sizes, self.begins = sizes, np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        self.flat = np.frombuffer(b"".join(vocabulary.bytes_of.get(k, b"") for k in range(top)), "u1")
 
     def split(self, text: str) -> list[str]:
         return self.split_plain(text) if self.split_plain and _PLAIN.fullmatch(text) else self.split_any(text)
@@ -239,65 +254,85 @@ class Tokenizer:
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(b"".join(map(self.pieces.__getitem__, self.split(text))), "<i4")
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        if not len(ids):
-            return b""
-        sizes = self.sizes[ids]
-        ends = np.cumsum(sizes)
-        at = np.repeat(self.begins[ids] - (ends - sizes), sizes)
-        return self.flat[at + np.arange(ends[-1])].tobytes()
 
+def _read_ranks(ranks: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(k): int(v) for k, v in (x.split() for x in ranks.splitlines() if x.strip())}
 
-_OPEN: dict[tuple[str, str], Tokenizer] = {}
 
+#: What a worker has open: one tokenizer or decoder at a time.
+_OPEN: dict[tuple, Decoder] = {}
 
-def _tokenizer(ranks: bytes, key: str, pattern: str) -> Tokenizer:
-    if (key, pattern) not in _OPEN:
+
+def _opened(key: tuple, make: Callable[[], Decoder]) -> Decoder:
+    if key not in _OPEN:
         _OPEN.clear()
-        _OPEN[key, pattern] = Tokenizer(Vocabulary({base64.b64decode(k): int(v) for k, v in (x.split() for x in ranks.splitlines() if x.strip())}), pattern)
-    return _OPEN[key, pattern]
+        _OPEN[key] = make()
+    return _OPEN[key]
+
 
+def _tokenizer(ranks: bytes, path: str, pattern: str) -> Tokenizer:
+    return _opened((path, pattern), lambda: Tokenizer(Vocabulary(_read_ranks(ranks)), pattern))
 
-#: Bytes of text, or ids, that one Arrow batch of results holds at most, but for single longer rows.
+
+#: Bytes of text and ids that one Arrow batch of results holds, about, but for single longer rows.
 BATCH_BYTES = 4 << 20
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, ids array<int>): the text's tokens, as many rows as came in. Null texts count as empty and have no ids.
+def _id_lists(rows: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, rows)]).astype("i4")
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows) if rows else np.empty(0, "i4")))
 
-    The rank file is read on the driver and broadcast (a vocabulary: under 10 MB, whatever the size of the corpus).
-    Each task encodes its rows as they stream by; nothing is shuffled.
-    """
+
+def _encoded(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, text_col: str, back: bool) -> DataFrame:
     bounded_batches(docs.sparkSession)
     ranks = _broadcast_ranks(docs, ranks_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _tokenizer(ranks.value, ranks_path, pattern)
         for batch in batches:
-            ids, out, size, first = batch.column(0), [], 0, 0
+            names, out, decoded, size, first = batch.column(0), [], [], 0, 0
             for i, text in enumerate(batch.column(1)):
                 out.append(tok.encode(text.as_py()))
                 size += out[-1].nbytes
+                if back:
+                    decoded.append(tok.decode(out[-1]))
+                    size += len(decoded[-1])
                 if size >= BATCH_BYTES or i + 1 == batch.num_rows:
-                    ends = np.cumsum([0] + [len(x) for x in out]).astype("i4")
-                    yield pa.RecordBatch.from_arrays([ids.slice(first, len(out)), pa.ListArray.from_arrays(ends, np.concatenate(out))], names=[id_col, "ids"])
-                    out, size, first = [], 0, i + 1
+                    cols = {id_col: names.slice(first, len(out)), "ids": _id_lists(out)}
+                    if back:
+                        cols["decoded"] = pa.array(decoded, pa.binary())
+                    yield pa.RecordBatch.from_pydict(cols)
+                    out, decoded, size, first = [], [], 0, i + 1
 
     rows = docs.select(id_col, text_or_empty(text_col).alias("text"))
-    return rows.mapInArrow(run, f"`{id_col}` {dict(rows.dtypes)[id_col]}, ids array<int>")
+    return rows.mapInArrow(run, f"`{id_col}` {dict(rows.dtypes)[id_col]}, ids array<int>" + ", decoded binary" * back)
 
 
-def decode(encoded: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """Rows (id, ids, decoded binary): the bytes that the ids stand for. Null ids count as none."""
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (id, ids array<int>): the text's tokens, as many rows as came in. Null texts count as empty and have no ids.
+
+    The rank file is read on the driver and broadcast (a vocabulary: under 10 MB, whatever the size of the corpus).
+    Each task encodes its rows as they stream by; nothing is shuffled.
+    """
+    return _encoded(docs, ranks_path, pattern, id_col, text_col, False)
+
+
+def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """Rows (id, ids, decoded binary): the bytes that the ids stand for. Null ids count as none. The decoder is two arrays."""
     bounded_batches(encoded.sparkSession)
     ranks = _broadcast_ranks(encoded, ranks_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = _tokenizer(ranks.value, ranks_path, pattern)
+        bytes_of = lambda: {v: k for k, v in _read_ranks(ranks.value).items()}
+        decoder = _opened((ranks_path,), lambda: Decoder(bytes_of()))
         for batch in batches:
-            lists = batch.column(1)
-            out = [tok.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else b"" for x in lists]
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(out, pa.binary())], names=[id_col, "ids", "decoded"])
+            ids, out, size, first = batch.column(1), [], 0, 0
+            for i, x in enumerate(ids):
+                out.append(decoder.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else b"")
+                size += len(out[-1])
+                if size >= BATCH_BYTES or i + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(out)), ids.slice(first, len(out)), pa.array(out, pa.binary())], names=[id_col, "ids", "decoded"])
+                    out, size, first = [], 0, i + 1
 
     rows = encoded.select(id_col, F.col(ids_col).alias("ids"))
     return rows.mapInArrow(run, f"`{id_col}` {dict(rows.dtypes)[id_col]}, ids array<int>, decoded binary")
@@ -309,5 +344,5 @@ def _broadcast_ranks(df: DataFrame, path: str):
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, ids, decoded): encoding, then decoding of the ids it gave."""
-    return decode(encode(docs, ranks_path, pattern, id_col, text_col), ranks_path, pattern, id_col)
+    """Rows (id, ids, decoded): encoding, then decoding of the ids it gave, in one pass through one worker per task."""
+    return _encoded(docs, ranks_path, pattern, id_col, text_col, True)
