@@ -97,6 +97,25 @@ def test_simhash_groups(odd, odd_rows):
     assert all(r.component_id == comp[r.doc_id] for r in got if r.doc_id is not None)
 
 
+def test_documents_without_id_bridge_others(spark, words):
+    """Two texts too far apart for a link, and one without an id between them."""
+    rng = random.Random(21)
+    base = [rng.choice(words) for _ in range(300)]
+    while True:
+        steps = [list(base)]
+        for _ in range(2):
+            w = list(steps[-1])
+            for _ in range(2):
+                w[rng.randrange(len(w))] = rng.choice(words)
+            steps.append(w)
+        a, b, c = (brute_fingerprint(" ".join(w)) for w in steps)
+        if (a ^ b).bit_count() <= 3 and (b ^ c).bit_count() <= 3 and (a ^ c).bit_count() > 3:
+            break
+    rows = [(5, " ".join(steps[0]), "en", "a"), (None, " ".join(steps[1]), "en", "a"), (9, " ".join(steps[2]), "en", "a")]
+    got = {r.doc_id: r.component_id for r in simhash.near_groups(make(spark, rows)).collect()}
+    assert got == {5: 5, 9: 5, None: 5}
+
+
 def test_simhash_on_nothing(empty):
     assert simhash.near_groups(empty).count() == 0
 
@@ -155,6 +174,37 @@ def test_components(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_links_of_a_hub_are_split(spark):
+    """One node with most links: the join of a round does not leave them to one task."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        hub = spark.range(40_000).selectExpr("7L AS u", "id + 100 AS v").unionByName(spark.range(300).selectExpr("id + 100000 AS u", "id + 100300 AS v"))
+        both = components.materialize(hub.unionByName(hub.selectExpr("v AS u", "u AS v")).repartition(8), "both")
+        low = components.materialize(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "low")
+        joined = components._to_smallest(both, low)
+        joined.collect()
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+        assert components.connected_components(hub.selectExpr("u AS a", "v AS b")).where("component = 7").count() == 40_001
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_shared_folder_must_be_named_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from fathom.sources import scratch
+
+    session = lambda master, base=None: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: base), sparkContext=SimpleNamespace(master=master, applicationId="x"))
+    assert scratch.shared_dir(session("yarn", "hdfs:///c")) == "hdfs:///c" and scratch.shared_dir(session("local[4]"))
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            scratch.shared_dir(session(master))
+
+
 def brute_repeats(rows, window):
     toks = [words_of(t) for _, t, *_ in rows]
     count = Counter(tuple(w[i : i + window]) for w in toks for i in range(len(w) - window + 1))

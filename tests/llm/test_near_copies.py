@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pytest
+
 import corpus_pipeline
 from fathom.llm import jaccard
 
@@ -43,7 +46,10 @@ def brute_groups(rows):
     return low, pairs
 
 
-def test_links_join_all_near_copies_and_no_others(spark, words):
+@pytest.mark.parametrize("block", [8, 512])
+def test_links_join_all_near_copies_and_no_others(spark, words, monkeypatch, block):
+    """Small blocks leave a common line's documents to many tasks."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
     rows = copy_rows(words)
     low, pairs = brute_groups(rows)
     assert len(pairs) > 80
@@ -65,3 +71,20 @@ def test_pipeline_stage_drops_short_near_copies(spark, words):
 
 def test_near_copies_of_nothing(spark, empty):
     assert jaccard.drop_near_copies(empty).count() == 0 and jaccard.links(empty).count() == 0
+
+
+def test_sketches_never_overstate_a_difference():
+    """Folded or not, two sketches differ in no more cells than the sets do in shingles; unrelated sets are ruled out."""
+    rng = np.random.default_rng(7)
+    draw = lambda n: rng.integers(-(1 << 62), 1 << 62, n)
+    for n in (1, 5, 63, 64, 65, 500, 3000):
+        base = np.unique(draw(n))
+        for changed in (0, 1, n // 10, n // 4):
+            other = np.unique(np.concatenate([base[changed:], draw(changed)]))
+            a, b = jaccard.sketch(base), jaccard.sketch(other)
+            words = min(len(a), len(b))
+            a, b = (np.bitwise_xor.reduce(x.reshape(-1, words), axis=0) for x in (a, b))
+            assert np.bitwise_count((a ^ b).view("u8")).sum() <= len(np.setxor1d(base, other))
+        if n >= 63:
+            a, b = jaccard.sketch(base).view("u8"), jaccard.sketch(np.unique(draw(len(base)))).view("u8")
+            assert np.bitwise_count(a ^ b).sum() * (jaccard.DEN + jaccard.NUM) > 2 * len(base) * (jaccard.DEN - jaccard.NUM)

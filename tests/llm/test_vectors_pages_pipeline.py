@@ -193,6 +193,14 @@ def test_hosts(spark):
     assert {r.u: r.h for r in got} == cases
 
 
+def test_long_hosts_match_by_their_ends(spark):
+    long = ".".join("ab" for _ in range(20_000))
+    captures = [(1, f"http://{long}.listed.org/"), (2, f"http://{long}/"), (3, f"http://{'x' * 400}.listed.org/"), (4, f"http://{'y' * 300}/"), (5, "http://a.listed.org/")]
+    c = spark.createDataFrame([(i, u, DAY + timedelta(days=3)) for i, u in captures], "page_id long, url string, fetched timestamp")
+    e = spark.createDataFrame([("listed.org", DAY, "add"), ("y" * 300, DAY, "add")], "domain string, listed timestamp, action string")
+    assert {r.page_id: r.matched_domain for r in urlfilter.judge(c, e).collect()} == {1: "listed.org", 2: None, 3: "listed.org", 4: "y" * 300, 5: "listed.org"}
+
+
 def test_captures_are_judged_by_their_day(spark):
     rng = random.Random(7)
     names = ["a.org", "x.a.org", "b.com", "deep.x.a.org", "org"]
@@ -258,3 +266,21 @@ def test_pipeline_against_its_parts(spark, tmp_path, words):
         taken[by_id[r.doc_id][3]] += len(t.split())
         assert (t == by_id[r.doc_id][1] or by_id[r.doc_id][1].startswith(t)) and r.ids == lib.encode_ordinary(t) and r.n_tokens == len(r.ids)
     assert all(abs(taken[s] - target[s]) < 1 for s in target)
+
+
+def test_pipeline_on_odd_rows(spark, odd, odd_rows, tmp_path):
+    """Null ids, texts and sources, repeated rows, very long texts and columns whose names clash with those of the stages."""
+    odd.write.parquet(str(tmp_path / "documents.parquet"))
+    lib = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=bpe.Vocabulary.read(RANKS).ranks, special_tokens={})
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    texts = [lib.decode(r.ids) for r in got]
+    known = {t for _, t, *_ in odd_rows if any(c.isalpha() for c in t or "")}
+    assert got and all(r.exact and r.n_tokens == len(r.ids) for r in got)
+    assert all(t in known or any(k.split()[: len(t.split())] == t.split() for k in known) for t in texts)
+    assert {r.doc_id for r in got} <= {i for i, *_ in odd_rows} and not {100, 101, 102, 105} & {r.doc_id for r in got}
+    assert not {200 + i for i in range(8)} & {r.doc_id for r in got}  # copies of document 3
+
+
+def test_pipeline_on_nothing(spark, empty, tmp_path):
+    empty.write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
